@@ -111,7 +111,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, keep: bool =
     )
     rows = rows.join(src, rows["s_source"].eqNullSafe(src["src_value"]), "left")
     rows = rows.join(lng, rows["s_lang"].eqNullSafe(lng["lang_value"]), "left")
-    size_q = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit((1 << bits) - 1)).cast("int")
+    size_q = F.least(F.length(F.bin("size")) - 1, F.lit((1 << bits) - 1)).cast("int")  # whole part of log2
     code = (F.col("src_q") * (1 << bits) + F.col("lang_q")) * (1 << bits) + size_q
     table = F.array(*[F.lit(i) for i in curve(3, bits)])
     rows = rows.withColumn("cell", F.element_at(table, (code + 1).cast("int"))).drop(
