@@ -24,7 +24,7 @@ def pairs(syms: DataFrame, keys: list[str], value: str = "sym") -> DataFrame:
 def pairs_of_arrays(df: DataFrame, keys: list[str], values: Column) -> DataFrame:
     """As ``pairs``, from an array of symbols in one row: no shuffle before the counts."""
     both = F.arrays_zip(F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))).alias("prev"), F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))).alias("next"))
-    return df.select(*keys, F.explode(both).alias("p")).select(*keys, F.col("p")["0"].alias("prev"), F.col("p")["1"].alias("next"))
+    return df.select(*keys, F.explode(both).alias("p")).select(*keys, "p.prev", "p.next")
 
 
 def train(pairs_: DataFrame, keys: list[str], step: int = STEP) -> DataFrame:

@@ -6,11 +6,10 @@ partition by blob, so their groups are bounded by the block size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bits
 from . import kernels
@@ -52,34 +51,23 @@ def bwt_columns(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame
     )
 
 
-def _kernel(df: DataFrame, schema: str, one) -> DataFrame:
-    """Applies ``one(row) -> tuple`` to rows in Arrow batches; the tuple replaces the trailing columns of ``schema``."""
-    names = [c.strip().split()[0].strip("`") for c in schema.split(",")]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in it:
-            yield pd.DataFrame([one(r) for r in g.itertuples(index=False)], columns=names)
-
-    return df.mapInPandas(run, schema)
-
-
-@F.pandas_udf("struct<data: binary, bw_index: bigint>")
+@F.pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("bw_index", T.LongType())]))
 def bwt_udf(data: pd.Series) -> pd.DataFrame:
     got = [kernels.bwt(bytes(b)) if b is not None else (None, None) for b in data]
     return pd.DataFrame({"data": [x[0] for x in got], "bw_index": pd.array([x[1] for x in got], dtype="Int64")})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def unbwt_udf(data: pd.Series, index: pd.Series) -> pd.Series:
     return pd.Series([kernels.unbwt(bytes(b), int(i)) if b is not None else None for b, i in zip(data, index, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def mtf_udf(data: pd.Series) -> pd.Series:
     return pd.Series([kernels.mtf(bytes(b)) if b is not None else None for b in data])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def unmtf_udf(data: pd.Series) -> pd.Series:
     return pd.Series([kernels.unmtf(bytes(b)) if b is not None else None for b in data])
 
@@ -112,14 +100,14 @@ def mtf_columns(syms: DataFrame, keys: list[str]) -> DataFrame:
     return a.withColumn("rank", rank).drop("pp", "np")
 
 
-def delta(df: DataFrame, keys: list[str], order: str, value: str) -> Column:
+def delta(keys: list[str], order: list[str], value: str) -> Column:
     """Difference to the value before, wrapped to 32 bits; the first is kept."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return wrap32(F.col(value).cast("long") - F.coalesce(F.lag(F.col(value).cast("long")).over(w), F.lit(0)))
 
 
-def undelta(df: DataFrame, keys: list[str], order: str, value: str) -> Column:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def undelta(keys: list[str], order: list[str], value: str) -> Column:
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return wrap32(F.sum(F.col(value).cast("long")).over(w))
 
 
