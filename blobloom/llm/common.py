@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows up to which a narrow table (a few dozen bytes a row) may be broadcast.
@@ -24,20 +24,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blobloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder, so that later stages start from files all executors see."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``rows`` (counted by the caller) is within ``bound``, else the table as it is."""
     return F.broadcast(df) if rows <= bound else df
