@@ -99,7 +99,7 @@ def parse_size(text: Column) -> Column:
 
 def params_bytes(params: Column) -> Column:
     """Map of strings as bytes: count, then length, key, length, value of each entry in order of keys; 64-bit lengths."""
-    entries = F.array_sort(F.map_entries(params))
+    entries = F.sort_array(F.map_entries(params))
 
     def sized(s: Column) -> Column:
         return F.concat(F.lpad(F.hex(F.octet_length(s).cast("long")), 16, "0"), F.hex(F.encode(s, "UTF-8")))

@@ -1,9 +1,32 @@
-"""rANS as column expressions, for sequences of instructions held in arrays."""
+"""rANS over sequences of instructions held in arrays: as a column expression, and in Arrow batches."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import kernels
+
+#: Sequences coded in step at once, and the length beyond which one is coded by itself.
+LANES, LANE_LENGTH = 1024, 4096
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def encode_udf(ls: pd.Series, bs: pd.Series) -> pd.Series:
+    """Words of arrays of frequencies and cumulative frequencies; for long or many sequences."""
+    out: list = [None] * len(ls)
+    sized = sorted((len(x), i) for i, x in enumerate(ls) if x is not None)
+    short = [i for n, i in sized if n <= LANE_LENGTH]
+    for at in range(0, len(short), LANES):  # of about one length
+        part = short[at : at + LANES]
+        for i, w in zip(part, kernels.rans_encode_many([ls[i] for i in part], [bs[i] for i in part]), strict=True):
+            out[i] = w.astype("int64")
+    for n, i in sized:
+        if n > LANE_LENGTH:
+            out[i] = kernels.rans_encode(ls[i], bs[i]).astype("int64")
+    return pd.Series(out)
 
 
 def encode(instructions: Column) -> Column:
@@ -41,6 +64,6 @@ def instructions(syms: DataFrame, model: DataFrame, keys: list[str], model_keys:
     rows = syms.withColumn("prev", F.lag("sym").over(w)).withColumnRenamed("sym", "next")
     rows = rows.join(model, [*model_keys, "prev", "next"], "left")
     one = F.when(F.col("prev").isNull(), uniform(F.col("next"))).otherwise(F.struct(F.col("ls").cast("long").alias("ls"), F.col("bs").cast("long").alias("bs")))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("i")))).alias("s")).select(
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", one.alias("i")))).alias("s")).select(
         *keys, F.transform("s", lambda x: x["i"]).alias("seq")
     )

@@ -128,6 +128,27 @@ def rans_encode(ls: np.ndarray, bs: np.ndarray) -> np.ndarray:
     return np.array(words[::-1], np.uint32)
 
 
+def rans_encode_many(ls: list[np.ndarray], bs: list[np.ndarray]) -> list[np.ndarray]:
+    """``rans_encode`` of several sequences in step: one vector operation codes a symbol of each."""
+    n = np.array([len(x) for x in ls], np.int64)
+    longest = int(n.max(initial=0))
+    f, c = np.ones((longest, len(ls)), np.uint64), np.zeros((longest, len(ls)), np.uint64)
+    for k, (a, b) in enumerate(zip(ls, bs, strict=True)):
+        f[: len(a), k], c[: len(b), k] = a, b
+    x = np.full(len(ls), LOW, np.uint64)
+    words, used = np.zeros((len(ls), longest + 2), np.uint32), np.zeros(len(ls), np.int64)
+    for t in range(longest - 1, -1, -1):
+        on = n > t
+        full = np.flatnonzero(on & (x >= f[t] << np.uint64(39)))
+        words[full, used[full]] = x[full] & np.uint64(WORD)
+        used[full] += 1
+        x[full] >>= np.uint64(32)
+        x = np.where(on, (x // f[t] << np.uint64(SCALE)) + c[t] + x % f[t], x)
+    at = np.arange(len(ls))
+    words[at, used], words[at, used + 1] = x >> np.uint64(32), x & np.uint64(WORD)
+    return [words[k, : used[k] + 2][::-1] for k in range(len(ls))]
+
+
 def order1_instructions(symbols: bytes, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frequency, cumulative) of each symbol after the one before it; the first is uniform."""
     s = np.frombuffer(symbols, np.uint8).astype(np.int64)

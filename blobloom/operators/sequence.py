@@ -32,7 +32,7 @@ def symbols(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
 
 def collect_symbols(df: DataFrame, keys: list[str], value: str = "sym") -> DataFrame:
     """Binary ``data`` of long-form rows, in order of pos."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("s"))
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("s"))
     hex_ = F.array_join(F.transform("s", lambda x: F.lpad(F.hex(x[value]), 2, "0")), "")
     return rows.select(*keys, F.unhex(hex_).alias("data"))
 
@@ -45,7 +45,7 @@ def bwt_columns(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame
     rows = rows.select(*keys, "i", F.expr("substring(h, 2 * i + 1)").alias("suffix"), F.expr("if(i = 0, right(h, 2), substring(h, 2 * i - 1, 2))").alias("before"))
     rows = rows.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy("suffix")))
     # the text's last symbol first, then the symbol before each suffix, but for the whole text
-    parts = F.array_sort(F.collect_list(F.struct(F.when(F.col("i") == 0, 0).otherwise(F.col("rk")).alias("rk"), "before")))
+    parts = F.sort_array(F.collect_list(F.struct(F.when(F.col("i") == 0, 0).otherwise(F.col("rk")).alias("rk"), "before")))
     return rows.groupBy(*keys).agg(parts.alias("p"), F.max(F.when(F.col("i") == 0, F.col("rk"))).alias("bw_index")).select(
         *keys, F.unhex(F.array_join(F.transform("p", lambda x: x["before"]), "")).alias("data"), F.col("bw_index").cast("long").alias("bw_index")
     )

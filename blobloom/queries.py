@@ -142,7 +142,7 @@ def read_file(spark, sf_dir):
     """Files joined with their blobs in order: file, blob and content again."""
     f = files(spark, sf_dir).select("path", "doc_id")
     rows = blocks(spark, sf_dir).join(f, "doc_id")
-    parts = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("h")))).alias("p"))
+    parts = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", F.hex("data").alias("h")))).alias("p"))
     whole = F.array_join(F.transform("p", lambda x: x["h"]), "")
     return parts.select("path", F.size("p").cast("long").alias("n_blobs"), (F.length(whole) / 2).cast("long").alias("size"), F.md5(whole.cast("binary")).alias("digest"))
 
@@ -488,8 +488,8 @@ def rans_encode(spark, sf_dir):
     """Words of every block under its document's order-0 frequencies."""
     s = sequence.symbols(blocks(spark, sf_dir), ["doc_id", "seq"])
     rows = s.join(_order0(spark, sf_dir), ["doc_id", "sym"])
-    seqs = rows.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "ls", "bs"))).alias("i"))
-    out = seqs.select("doc_id", "seq", entropy.encode(F.col("i")).alias("w"))
+    seqs = rows.groupBy("doc_id", "seq").agg(F.sort_array(F.collect_list(F.struct("pos", "ls", "bs"))).alias("i"))
+    out = seqs.select("doc_id", "seq", entropy.encode_udf(F.transform("i", lambda x: x["ls"]), F.transform("i", lambda x: x["bs"])).alias("w"))
     return out.select("doc_id", "seq", F.size("w").alias("n_words"), F.md5(F.array_join("w", ",").cast("binary")).alias("digest"))
 
 
@@ -526,7 +526,7 @@ p AS (SELECT l_orderkey, rpad(s, ((length(s) + 7) // 8 * 8)::INT, '0') AS s FROM
 SELECT l_orderkey, string_agg(lpad(hex(('0b' || substring(s, k * 8 + 1, 8))::BIGINT), 2, '0'), '' ORDER BY k) AS packed
 FROM (SELECT l_orderkey, s, unnest(range(0, length(s) // 8)) AS k FROM p) GROUP BY l_orderkey""")
 def bit_vector_packing(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.bin("l_partkey").alias("c")))).alias("c"))
+    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.bin("l_partkey").alias("c")))).alias("c"))
     return t.select("l_orderkey", F.hex(bits.pack_bits(F.transform("c", lambda x: x["c"]))).alias("packed"))
 
 

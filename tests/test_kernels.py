@@ -97,3 +97,15 @@ def test_paeth_vector_and_inverse():
     for bits, shape in ((8, (3, 3)), (8, (1, 40)), (8, (40, 1)), (16, (23, 31)), (4, (17, 5))):
         v = np.random.default_rng(1).integers(0, 1 << bits, shape)
         assert (K.paeth_restore(K.paeth_residual(v, bits), bits) == v).all()
+
+
+def test_many_sequences_in_step():
+    r = np.random.default_rng(2)
+    ls, bs = [], []
+    for n in (0, 1, 2, 50, 300):
+        f = K.frequency_table(r.integers(0, 50, 256))
+        s = r.integers(0, 256, n)
+        ls.append(f[s])
+        bs.append((np.cumsum(f) - f)[s])
+    got = K.rans_encode_many(ls, bs)
+    assert [g.tolist() for g in got] == [K.rans_encode(a, b).tolist() for a, b in zip(ls, bs)]

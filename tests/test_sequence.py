@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from blobloom.operators import kernels, models, sequence
+from blobloom.operators import entropy, kernels, models, sequence
 
 
 def blob_frame(spark, blobs):
@@ -94,3 +95,21 @@ def test_first_order_update(spark):
     ch = spark.createDataFrame([(0, 1, 2, 32)], "k int, prev int, next int, delta long")
     assert [tuple(r) for r in models.update(cells, ["k"], ch, "revert").collect()] == [(0, 3, 4, 64)]
     assert sorted(r.cnt for r in models.update(cells, ["k"], ch.withColumn("delta", F.lit(9).cast("long")), "set").collect()) == [9, 64]
+
+
+def test_rans_forms_agree(spark):
+    rows = [(0, [(65536, 7 << 16), (58255, 0), (1922362, 3786575)]), (1, [(65536, 0)] * 300), (2, [])]
+    df = spark.createDataFrame(rows, "k int, i array<struct<ls: bigint, bs: bigint>>")
+    got = df.select("k", entropy.encode(F.col("i")).alias("a"), entropy.encode_udf(F.col("i.ls"), F.col("i.bs")).alias("b")).collect()
+    for r in got:
+        assert r.a == r.b == kernels.rans_encode(*(np.array([x[c] for x in rows[r.k][1]], np.int64) for c in (0, 1))).tolist()
+
+
+def test_first_order_instructions(spark):
+    df = blob_frame(spark, BLOBS)
+    syms = sequence.symbols(df.withColumn("data", sequence.mtf_udf("data")), ["k"])
+    model = models.normalise(models.dense(models.train(models.pairs(syms, ["k"]), ["k"]), ["k"]), ["k", "prev"])
+    got = {r.k: r.w for r in entropy.instructions(syms, model, ["k"], ["k"]).select("k", entropy.encode(F.col("seq")).alias("w")).collect()}
+    for i, b in enumerate(BLOBS):
+        s = kernels.mtf(b)
+        assert got[i] == kernels.rans_encode(*kernels.order1_instructions(s, *kernels.normalise(kernels.bigrams(s)))).tolist()
