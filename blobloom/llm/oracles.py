@@ -68,22 +68,26 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
 
 
 def substring_sql() -> str:
+    k = substring_dedup.UNIT_WORDS
     return rf"""
 WITH p AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(\n|[.!?][ \t])', '\1' || chr(30), 'g'),
-           '([ \t])(\p{{Lu}})', '\1' || chr(30) || '\2', 'g'), chr(30))) AS piece,
-         generate_subscripts(string_split(regexp_replace(regexp_replace(text, '(\n|[.!?][ \t])', '\1' || chr(30), 'g'),
-           '([ \t])(\p{{Lu}})', '\1' || chr(30) || '\2', 'g'), chr(30)), 1) AS k
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(\n|[.!?][ \t])', '\1' || chr(30), 'g'),
+           '([ \t])(\p{{Lu}})', '\1' || chr(30) || '\2', 'g'), chr(30)) AS pieces
   FROM documents WHERE text IS NOT NULL),
+f AS (
+  SELECT doc_id, list_reduce(list_transform(pieces, lambda x: {{'u': []::VARCHAR[], 'c': x}}),
+    lambda a, b: CASE WHEN len(regexp_extract_all(a.c, '{WORD}')) >= {k}
+      THEN {{'u': list_append(a.u, a.c), 'c': b.c}} ELSE {{'u': a.u, 'c': a.c || b.c}} END) AS r FROM p),
 o AS (
-  SELECT doc_id, k, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS stop, length(piece) AS len,
-         regexp_extract_all(translate(piece, {LOWER}), '{WORD}') AS w FROM p),
+  SELECT doc_id, unnest(list_append(r.u, r.c)) AS piece, generate_subscripts(list_append(r.u, r.c), 1) AS k FROM f),
 u AS (
-  SELECT doc_id, stop - len AS start, stop, len(w) AS n_words, array_to_string(w, ' ') AS norm,
-         row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit FROM o WHERE len(w) > 0),
+  SELECT doc_id, k - 1 AS unit, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS stop, length(piece) AS len,
+         regexp_extract_all(translate(piece, {LOWER}), '{WORD}') AS w FROM o
+  QUALIFY len(w) >= {k}),
+v AS (SELECT doc_id, unit, stop - len AS start, stop, len(w) AS n_words, array_to_string(w, ' ') AS norm FROM u),
 a AS (
   SELECT *, first_value(doc_id) OVER e AS kept, row_number() OVER e AS nth
-  FROM u WINDOW e AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit)),
+  FROM v WINDOW e AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit)),
 r AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM a WHERE nth > 1)
 SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS stop, sum(n_words)::BIGINT AS n_words,

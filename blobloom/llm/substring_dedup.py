@@ -1,8 +1,9 @@
 """Substring dedup by hashing of lines and the sentences within them.
 
 Units end at line ends, after a sentence mark with white space, and before a
-capital after white space (a passage pasted into a line starts with one). A unit
-is normalised (ASCII lower case, white space collapsed) and hashed to 128 bits;
+capital after white space (a passage pasted into a line starts with one), once
+they have ``UNIT_WORDS`` words; so short lines belong to what follows them, and
+units of a repeated passage fall into step within a sentence or two. A unit is normalised (ASCII lower case, white space collapsed) and hashed to 128 bits;
 digests are grouped globally by a combining aggregation; the earliest
 occurrence, by document id and place, stays. Runs of neighbouring repeated units
 of ``MIN_WORDS`` words or more are removed; shorter ones are idiom and are left
@@ -22,36 +23,37 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 25
+UNIT_WORDS = 5
 BOUNDARY = regex.compile(r"(?<=\n)|(?<=[.!?][ \t])|(?<=[ \t])(?=\p{Lu})")
 #: Rows of a batch that a Python worker sends back at once.
 BATCH = 50_000
 UNITS = "doc_id bigint, text_key bigint, unit int, start int, stop int, n_words int, digest binary"
 
 
-def split_units(text: str) -> Iterator[tuple[int, int]]:
-    """(start, stop) of the units of a text, in characters."""
-    at = 0
+def split_units(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, stop, words) of the units of a text, in characters; a tail of fewer than UNIT_WORDS words is none."""
+    start = at = 0
+    found: list[bytes] = []
     for m in BOUNDARY.finditer(text):
-        if m.start() > at:
-            yield at, m.start()
-            at = m.start()
-    if at < len(text):
-        yield at, len(text)
+        found += text[at : m.start()].encode().lower().split()
+        at = m.start()
+        if len(found) >= UNIT_WORDS:
+            yield start, at, found
+            start, found = at, []
+    found += text[at:].encode().lower().split()
+    if len(found) >= UNIT_WORDS:
+        yield start, len(text), found
 
 
 def _units(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols: list[list] = [[] for _ in range(7)]
     for g in it:
         for doc_id, key, text in zip(g["doc_id"], g["text_key"], g["text"], strict=True):
-            n = 0
-            for start, stop in split_units(text):
-                w = text[start:stop].encode().lower().split()
-                if w:
-                    row = (doc_id, key, n, start, stop, len(w), xxhash.xxh3_128_digest(b" ".join(w)))
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                    n += 1
-            if n and len(cols[0]) > BATCH:
+            for n, (start, stop, w) in enumerate(split_units(text)):
+                row = (doc_id, key, n, start, stop, len(w), xxhash.xxh3_128_digest(b" ".join(w)))
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            if len(cols[0]) > BATCH:
                 yield _frame(cols)
                 cols = [[] for _ in range(7)]
     if cols[0]:
