@@ -13,7 +13,7 @@ rotation gives the same results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
@@ -137,17 +137,23 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         fit[i, : len(x)] = x
     turn = rotation(fit, dims)
 
-    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        whole = [g for g in it if len(g)]
-        if whole:
-            yield _pack(TaskContext.get().partitionId(), pd.concat(whole), dims)
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        return _pack(int(g["block"].iloc[0]), g, dims)
 
     def blocks(of: DataFrame, count: int, per: int) -> DataFrame:
-        # ids break ties, so that equal lengths are cut as well; a partition is a block of about ``per`` vectors
-        cut = of.repartitionByRange(max(1, -(-count // per)), F.desc("norm2"), F.col("id"))
-        return common.cut(cut.select("id", "v").mapInPandas(pack, PACKED))
+        """Runs of ``per`` vectors in order of descending length, ids breaking ties, one row each."""
+        parts = max(1, -(-count // (8 * per)))
+        ranged = of.repartitionByRange(parts, F.desc("norm2"), F.col("id")).sortWithinPartitions(F.desc("norm2"), "id")
+        ranged = common.cut(ranged.select("id", "v"))  # from here on partitions and their order are fixed
+        sizes = {r[0]: r[1] for r in ranged.groupBy(F.spark_partition_id()).count().collect()}  # a row for 8 blocks
+        first, at = [], 0
+        for p in range(max(sizes, default=-1) + 1):
+            first.append(at)
+            at += sizes.get(p, 0)
+        start = F.element_at(F.lit(first or [0]), F.spark_partition_id() + 1)
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        numbered = ranged.select("id", "v", F.floor((start + row) / per).cast("int").alias("block"))
+        return common.cut(numbered.groupBy("block").applyInPandas(pack, PACKED))
 
     cand = blocks(rows, n, BLOCK)
     ask = rows.filter(F.col("id") % every == 0)
@@ -162,21 +168,23 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     FOUND = "q_block int, q_row int, query_id bigint, vec_id bigint, score bigint"
 
-    def score(pair: pd.DataFrame, floors: list[float] | None) -> pd.DataFrame:
+    def score(pair: Mapping, floors: list[float] | None) -> pd.DataFrame:
         q_ids, q = _unpack(pair["q_ids"], pair["q_vecs"], dims)
         c_ids, c = _unpack(pair["ids"], pair["vecs"], dims)
         low = np.asarray(floors, float) if floors is not None else np.full(len(q), -np.inf)
         i, ids, s = search(q, q_ids, c, c_ids, low, turn, k)
         return pd.DataFrame({"q_block": pair["q_block"], "q_row": i, "query_id": q_ids[i], "vec_id": ids, "score": s})
 
+    # one block of BLOCK vectors, whatever the table's size, goes to all executors
+    head = spark.sparkContext.broadcast(cand.filter(F.col("block") == head_block).select("ids", "vecs").first())
+
     def first_block(it):
         for g in it:
-            for _, pair in g.iterrows():
-                yield score(pair, None)
+            for _, row in g.iterrows():
+                yield score({"ids": head.value["ids"], "vecs": head.value["vecs"], **row}, None)
 
     q = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    head = cand.filter(F.col("block") == head_block)
-    seeds = q.withColumn("block", F.lit(head_block)).join(head, "block").drop("block").mapInPandas(first_block, FOUND)
+    seeds = q.mapInPandas(first_block, FOUND)
     seeds = common.cut(seeds)
     # per query block: thresholds of its queries, and the leading blocks that can reach one
     kth = seeds.groupBy("q_block", "q_row").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c"))
