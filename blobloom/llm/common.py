@@ -29,6 +29,24 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+#: A key is hot if it has more than this share of a table's rows; there are fewer than 1 / HOT of them.
+HOT = 1 / 500
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, copies: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one fact for each key, whatever share of the rows a key has.
+
+    ``copies`` of ``facts`` is how many of the ``total`` rows have the key. Facts of
+    hot keys, fewer than 1 / HOT by arithmetic, are broadcast, so that their rows
+    stay where they are; the others meet by shuffle.
+    """
+    hot = F.col(copies) > F.lit(total * HOT)
+    few = F.broadcast(facts.filter(hot))
+    there = rows.join(few, F.col(key) == F.col(fact_key))
+    rest = rows.join(few.select(F.col(fact_key).alias("_hot")), F.col(key) == F.col("_hot"), "left_anti")
+    return there.union(rest.join(facts.filter(~hot), F.col(key) == F.col(fact_key)))
+
+
 def row_key(text: Column) -> Column:
     """Tells rows of one id apart by their text."""
     return F.xxhash64(text)

@@ -284,16 +284,15 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
     repeated rows are all returned; no rows give no rows.
     """
     prints = fingerprints(docs, width)
-    keys = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    keys = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     label = components(links(keys.select(F.col("fp").alias("id"), "fp"), budget))
     named = keys.join(label, keys["fp"] == label["node"]).select("fp", "label", "least")
     root = named.groupBy("label").agg(F.min("least").alias("root")).withColumnRenamed("label", "r_label")
     moved = named.join(root, F.col("label") == F.col("r_label")).select(F.col("fp").alias("m_fp"), "root")
-    # every fingerprint once; documents then meet it by an ordinary join, whose large side can be split
-    final = keys.join(moved, F.col("fp") == F.col("m_fp"), "left").select(
-        F.col("fp").alias("k_fp"), F.coalesce(F.when(F.col("m_fp").isNotNull(), F.col("root")), F.col("least")).alias("component_id")
-    )
-    return prints.join(final, F.col("fp") == F.col("k_fp"), "left").select(
+    own = F.when(F.col("m_fp").isNotNull(), F.col("root")).otherwise(F.col("least"))
+    final = keys.join(moved, F.col("fp") == F.col("m_fp"), "left").select(F.col("fp").alias("k_fp"), own.alias("component_id"), "copies")
+    final = common.cut(final)
+    return common.join_hot(prints, final, "fp", "k_fp", "copies", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -320,14 +319,16 @@ def near_duplicates(docs: DataFrame, budget: int = NEAR_BUDGET, width: int = NEA
     band = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("long")
     rows = prints.withColumn("band", band).withColumn("id", F.xxhash64(*sign))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    keys = common.cut(rows.groupBy("id").agg(*[F.first(c).alias(c) for c in sign], first))
+    keys = common.cut(rows.groupBy("id").agg(*[F.first(c).alias(c) for c in sign], first, F.count(F.lit(1)).alias("copies")))
     label = components(links(keys.select("id", *sign), budget, check))
-    named = keys.select("id", "least").join(label, keys["id"] == label["node"], "left").select(
-        F.col("id").alias("n_id"), F.coalesce("label", "id").alias("group_id"), "least"
+    named = keys.join(label, keys["id"] == label["node"], "left").select(
+        F.col("id").alias("n_id"), F.coalesce("label", "id").alias("group_id"), "least", "copies"
     )
-    best = named.groupBy("group_id").agg(F.min("least").alias("best")).withColumnRenamed("group_id", "b_id")
-    of = named.join(best, F.col("group_id") == F.col("b_id")).select("n_id", "group_id", "best")
-    out = rows.join(of, F.col("id") == F.col("n_id"))
+    named = common.cut(named)
+    best = named.groupBy(F.col("group_id").alias("b_id")).agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("members"))
+    of = common.join_hot(named, common.cut(best), "group_id", "b_id", "members", named.count())
+    of = common.cut(of.select("n_id", "group_id", "best", "copies"))
+    out = common.join_hot(rows, of, "id", "n_id", "copies", rows.count())
     keep = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     return out.select("doc_id", "text_key", "group_id", keep.alias("keep"))
 
