@@ -9,6 +9,9 @@ nodes whose prefix differs in at most ``budget`` bits, and each such pair of
 nodes is one task's group, where the walk goes on over sorted arrays. A group
 returns a spanning forest of its links, not all pairs. Components of the forests
 are joined by alternating star contraction, one shuffle a step, checkpointed.
+
+The pipeline's near-dedup finds candidates by many independent fingerprints
+(min-hashes in bands) and decides each by the exact similarity of its shingles.
 """
 
 from __future__ import annotations
@@ -59,39 +62,24 @@ def xxh64(shingle: bytes) -> bytes:
     return xxhash.xxh64_digest(shingle, SEED)
 
 
-def wide(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle, SEED) + xxhash.xxh3_128_digest(shingle, SEED + 1)
-
-
 def fingerprint(data: bytes | None, width: int) -> int:
     """64-bit SimHash of the word shingles; 0 without words."""
     w = words(data)
     return int.from_bytes(majority(w, width, xxh64), "big", signed=True) if w else 0
 
 
-def signature(data: bytes | None, width: int) -> list[int]:
-    """256-bit SimHash as four longs."""
-    w = words(data)
-    return np.frombuffer(majority(w, width, wide), ">i8").tolist() if w else [0] * 4
-
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_key, fp) of each row; checkpointed, so texts are read once."""
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, check: int | None = None) -> DataFrame:
-    """(doc_id, text_key, words, fp) of each row, and s0 to s3 of ``check``-word shingles; checkpointed, so texts are read once."""
-    names = [f"s{i}" for i in range(4)] if check else []
+    @F.pandas_udf("bigint")
+    def prints(text: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, width) for t in text], dtype="int64")
 
-    @F.pandas_udf("words bigint, fp bigint" + "".join(f", {n} bigint" for n in names))
-    def prints(text: pd.Series) -> pd.DataFrame:
-        out = {"words": [len(words(t)) for t in text], "fp": [fingerprint(t, width) for t in text]}
-        if check:
-            out |= dict(zip(names, zip(*(signature(t, check) for t in text), strict=True), strict=True))
-        return pd.DataFrame(out)
-
-    rows = docs.select(
+    return common.cut(docs.select(
         docs["doc_id"].alias("doc_id"),
         common.row_key(docs["text"]).alias("text_key"),
-        prints(docs["text"].cast("binary")).alias("p"),
-    )
-    return common.cut(rows.select("doc_id", "text_key", "p.*"))
+        prints(docs["text"].cast("binary")).alias("fp"),
+    ))
 
 
 def walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,27 +187,17 @@ def node_masks(depth: int, budget: int) -> list[int]:
     return [sum(1 << k for k in c) for r in range(min(budget, depth) + 1) for c in combinations(range(depth), r)]
 
 
-def links(keys: DataFrame, budget: int, check_budget: int | None = None) -> DataFrame:
-    """Spanning-forest links (a, b), a > b, of the distinct keys that are near.
-
-    ``keys`` has id and fp and, with ``check_budget``, band and s0 to s3: ids link
-    if fp differs in at most ``budget`` bits and, with it, bands by one at most and
-    s0 to s3 in at most ``check_budget`` bits. Ids are distinct.
-    """
+def links(keys: DataFrame, budget: int) -> DataFrame:
+    """Spanning-forest links (a, b), a > b, of the distinct ids of ``keys`` (id, fp) within ``budget`` bits."""
     keys = common.cut(keys)
     n = keys.count()
     depth = min(DEPTH_SMALL, ceil(log2(n / NODE_SMALL))) if n > NODE_SMALL else 0
     depth = max(depth, ceil(log2(n / NODE_LARGE)) if n > NODE_LARGE else 0)
     masks = F.array(*[F.lit(m) for m in node_masks(depth, budget)])
     node = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    signs = [f"s{i}" for i in range(4)] if check_budget is not None else []
     dealt = keys.withColumn("node", node).withColumn("mask", F.explode(masks))
     other = F.col("node").bitwiseXOR(F.col("mask").cast("long"))
-    # neighbouring bands meet in the cell of the higher one
-    cell = F.explode(F.array("band", F.col("band") + 1)) if signs else F.lit(0).cast("long")
-    dealt = dealt.select(
-        "id", "fp", *signs, "node", F.least("node", other).alias("p"), F.greatest("node", other).alias("q"), cell.alias("cell")
-    )
+    dealt = dealt.select("id", "fp", "node", F.least("node", other).alias("p"), F.greatest("node", other).alias("q"))
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
         p, q = g["p"].iloc[0], g["q"].iloc[0]
@@ -231,19 +209,14 @@ def links(keys: DataFrame, budget: int, check_budget: int | None = None) -> Data
             parts.append(at[np.argsort(fp[at], kind="stable")])
         ia, ib = parts[0], parts[-1]
         forest = Forest(len(fp))
-        more = [g[c].to_numpy().view(np.uint64) for c in signs]
         for i, j in walk(fp[ia], fp[ib], p == q, budget, depth):
-            x, y = ia[i], ib[j]
-            if more:
-                apart = sum(np.bitwise_count(c[x] ^ c[y]).astype(int) for c in more)
-                x, y = x[apart <= check_budget], y[apart <= check_budget]
-            forest.link(x, y)
+            forest.link(ia[i], ib[j])
         ids = g["id"].to_numpy()
         out = np.flatnonzero(forest.label != np.arange(len(fp)))
         x, y = ids[out], ids[forest.label[out]]
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return dealt.groupBy("p", "q", "cell").applyInPandas(group, "a bigint, b bigint").distinct()
+    return dealt.groupBy("p", "q").applyInPandas(group, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,30 +270,125 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
     )
 
 
-#: Near copies of the pipeline: fingerprints of single words within 3 bits find
-#: candidates; 256-bit signatures of five-word shingles within 43 bits confirm
-#: them. A Jaccard similarity of 0.8 (cosine 8/9, an angle of 0.151 half turns)
-#: is 38.6 bits on average; 43 lets four in five of such pairs through, nearly all
-#: of 0.85 and more, one in six of 0.7 and none of 0.6.
-NEAR_BUDGET, NEAR_WIDTH, NEAR_CHECK = 3, 5, 43
-#: Documents of similarity 0.8 have word counts within a factor of 1.25: equal or neighbouring bands.
-BAND = 1.25
+#: Near copies of the pipeline: an exact Jaccard similarity of 4/5 or more of the sets of five-word shingles.
+NEAR_WIDTH, NEAR = 5, (4, 5)
+#: Candidates agree in all min-hashes of a band. Of pairs of similarity 0.8 a
+#: 1 - (1 - 0.8^8)^40 = 0.9994 are candidates, of 0.9 all but one in 10^9, of 0.3 one in 400.
+ROWS, BANDS = 8, 40
+#: Members of a candidate group that one task compares with another such block; shingles min-hashed at once.
+BLOCK, AT_ONCE = 512, 128
+_random = np.random.default_rng(SEED)
+MIX = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+ODD = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 
 
-def near_duplicates(docs: DataFrame, budget: int = NEAR_BUDGET, width: int = NEAR_WIDTH, check: int = NEAR_CHECK) -> DataFrame:
-    """(doc_id, text_key, group_id, keep) of each distinct row of ``docs``.
+def shingle_set(data: bytes | None, width: int = NEAR_WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles (all words together if there are fewer); empty without words."""
+    w = words(data)
+    if not w:
+        return np.empty(0, np.uint64)
+    found = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), SEED) for i in range(max(1, len(w) - width + 1))]
+    return np.unique(np.array(found, np.uint64))
+
 
-    Groups are components of links between documents whose word fingerprints,
-    shingle fingerprints and lengths are near. ``keep`` marks the smallest
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key of each band of min-hashes; none without shingles."""
+    if not len(shingles):
+        return []
+    x = shingles.astype(np.uint32)
+    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), AT_ONCE):
+        np.minimum(low, ((x[at : at + AT_ONCE, None] ^ MIX) * ODD).min(axis=0), out=low)
+    keys = b"".join(xxhash.xxh64_digest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS))
+    return np.frombuffer(keys, ">i8").tolist()
+
+
+def similar(sets: list[np.ndarray], near: tuple[int, int] = NEAR) -> np.ndarray:
+    """A label of each set, its component under Jaccard similarities of ``near`` or more; sets aren't empty.
+
+    All pairs of different components are compared, pairs of one only as far as needed.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    seen, of = np.unique(np.concatenate(sets), return_inverse=True)
+    label, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        root, rest = rest[0], rest[1:]
+        queue = [root]
+        while queue and len(rest):
+            k = queue.pop()
+            own = np.zeros(len(seen), np.uint8)
+            own[of[starts[k] : starts[k] + sizes[k]]] = 1
+            shared = np.add.reduceat(own[of], starts, dtype=np.int64)[rest]
+            close = near[1] * shared >= near[0] * (sizes[k] + sizes[rest] - shared)
+            label[rest[close]] = root
+            queue += rest[close].tolist()
+            rest = rest[~close]
+    return label
+
+
+def near_links(docs: DataFrame, keys: DataFrame, near: tuple[int, int] = NEAR, width: int = NEAR_WIDTH) -> DataFrame:
+    """Spanning-forest links (a, b), a > b, of the ids of ``keys`` (id, bands, least) whose texts are similar.
+
+    Texts of candidates are read again, by ``least``'s doc_id and text_key. Groups
+    of over ``BLOCK`` candidates are cut into blocks, and each two blocks are a task's.
+    """
+    rows = keys.select("id", F.explode("bands").alias("key"))
+    groups = rows.groupBy(F.col("key").alias("g_key")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    # bands that have brought the same ids together count once
+    groups = common.cut(groups.filter("n > 1").groupBy("n", "who").agg(F.min("g_key").alias("g_key")))
+    few = common.small(groups.select("g_key", "n"), groups.count())
+    met = common.cut(rows.join(few, F.col("key") == F.col("g_key")).select("id", "key", "n"))
+    some = met.select(F.col("id").alias("c_id")).distinct()
+    some = keys.join(some, F.col("id") == F.col("c_id")).select(
+        "c_id", F.col("least.doc_id").alias("c_doc"), F.col("least.text_key").alias("c_text")
+    )
+    some = common.cut(some)
+
+    @F.pandas_udf("binary")
+    def shingles(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).tobytes() for t in text], dtype=object)
+
+    same = docs["doc_id"].eqNullSafe(some["c_doc"]) & (common.row_key(docs["text"]) == some["c_text"])
+    again = docs.select("doc_id", "text").join(common.small(some, some.count()), same)
+    sets = common.cut(again.select("c_id", shingles(docs["text"].cast("binary")).alias("shingles"))).dropDuplicates(["c_id"])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = met.join(sets, F.col("id") == F.col("c_id")).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).filter((F.col("n") <= BLOCK) | F.expr("block <> other"))
+    dealt = dealt.select("id", "shingles", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def group(g: pd.DataFrame) -> pd.DataFrame:
+        ids = g["id"].to_numpy()
+        label = similar([np.frombuffer(s, np.uint64) for s in g["shingles"]], near)
+        out = np.flatnonzero(label != np.arange(len(ids)))
+        x, y = ids[out], ids[label[out]]
+        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return dealt.groupBy("key", "p", "q").applyInPandas(group, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR, width: int = NEAR_WIDTH) -> DataFrame:
+    """(doc_id, text_key, group_id, keep) of each row of ``docs``.
+
+    Groups are components of links between documents whose sets of word shingles
+    have a Jaccard similarity of ``near`` or more. ``keep`` marks the smallest
     (doc_id, text_key) of a group. Texts without words are copies of each other.
     """
-    prints = fingerprints(docs, 1, width)
-    sign = ["fp", "s0", "s1", "s2", "s3", "band"]
-    band = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("long")
-    rows = prints.withColumn("band", band).withColumn("id", F.xxhash64(*sign))
+
+    @F.pandas_udf("id bigint, bands array<bigint>")
+    def prints(text: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in text]
+        ids = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) for s in sets]
+        return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "bands": [bands(s) for s in sets]})
+
+    rows = docs.select(
+        docs["doc_id"].alias("doc_id"), common.row_key(docs["text"]).alias("text_key"), prints(docs["text"].cast("binary")).alias("p")
+    )
+    rows = common.cut(rows.select("doc_id", "text_key", "p.*"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    keys = common.cut(rows.groupBy("id").agg(*[F.first(c).alias(c) for c in sign], first, F.count(F.lit(1)).alias("copies")))
-    label = components(links(keys.select("id", *sign), budget, check))
+    keys = common.cut(rows.groupBy("id").agg(F.first("bands").alias("bands"), first, F.count(F.lit(1)).alias("copies")))
+    label = components(near_links(docs, keys, near, width))
     named = keys.join(label, keys["id"] == label["node"], "left").select(
         F.col("id").alias("n_id"), F.coalesce("label", "id").alias("group_id"), "least", "copies"
     )

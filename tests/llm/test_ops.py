@@ -494,6 +494,41 @@ def test_near_dedup(spark):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 5
 
 
+def brute_near(texts):
+    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_groups_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(5)
+    texts = []
+    for n in (6, 20, 90, 150, 270, 900):  # copies from just below to well above the threshold, and clusters of them
+        for _ in range(8):
+            w = [f"{n}w{r.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(w))
+            for _ in range(5):
+                v = list(w)
+                for _ in range(r.randrange(1, 2 + n // 40)):
+                    v[r.randrange(n)] = f"x{r.randrange(10**6)}"
+                texts.append(" ".join(v))
+    want = simhash.Forest(len(texts))
+    pairs = np.array(sorted(brute_near(texts)))
+    assert len(pairs) > 100
+    want.link(pairs[:, 0], pairs[:, 1])
+    got = simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()
+    least = {}
+    for x in got:
+        least[x.group_id] = min(x.doc_id, least.get(x.group_id, x.doc_id))
+    assert {x.doc_id: least[x.group_id] for x in got} == dict(enumerate(want.label.tolist()))
+    assert {x.doc_id for x in got if x.keep} == set(want.label.tolist())
+
+
 def test_near_dedup_odd(spark):
     out = simhash.near_dedup(odd(spark))
     assert out.columns == odd(spark).columns
