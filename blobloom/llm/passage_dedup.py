@@ -1,0 +1,127 @@
+"""Substring dedup by units that overlap, as ``substring_dedup`` without its losses.
+
+Pieces end at line ends, after a sentence mark with white space, and before a
+capital after white space (a passage pasted into a line starts with one). A unit
+starts at each piece and takes pieces until it has ``UNIT_WORDS`` words: units
+overlap where pieces are short, and what comes before a unit doesn't change it.
+A unit is normalised
+(ASCII lower case, white space collapsed) and hashed to 128 bits; digests are
+grouped globally by a combining aggregation; the earliest occurrence, by document
+id and place, stays. Runs of repeated units of ``MIN_WORDS`` words or more are
+removed; shorter ones are idiom and are left alone. Removed spans keep their offsets in the original text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import common
+from .substring_dedup import BOUNDARY, MIN_WORDS, UNIT_WORDS
+
+#: Units of a batch that a Python worker sends back at once.
+BATCH = 50_000
+#: span and place hold two numbers each, the first in the upper half: characters, with the sign set for whole lines; words.
+UNITS = "doc_id bigint, text_key bigint, d0 array<bigint>, d1 array<bigint>, span array<bigint>, place array<bigint>"
+LINE = -(1 << 63)
+
+
+def split_units(text: str) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
+    """(start, stop) in characters, (first, last) in words, whole line or not, and normalised text of the units of a text."""
+    cuts = [m.start() for m in BOUNDARY.finditer(text)]
+    cuts = [0, *(c for c in cuts if 0 < c < len(text)), len(text)]
+    found: list[bytes] = []
+    upto = [0]
+    for a, b in zip(cuts, cuts[1:]):
+        found += text[a:b].encode().lower().split()
+        upto.append(len(found))
+    n = len(cuts) - 1
+    j = 0
+    for i in range(n):
+        while j < n and upto[j] - upto[i] < UNIT_WORDS:
+            j += 1
+        if upto[j] - upto[i] < UNIT_WORDS:
+            return
+        if upto[i + 1] > upto[i]:  # not of white space only
+            yield cuts[i], cuts[j], upto[i], upto[j], False, b" ".join(found[upto[i] : upto[j]])
+
+
+def _units(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
+    n = 0
+    for g in it:
+        for doc_id, key, text in zip(g["doc_id"], g["text_key"], g["text"], strict=True):
+            units = list(split_units(text))
+            if not units:
+                continue
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u[5]) for u in units), ">i8").astype(np.int64)
+            span = np.array([(u[0] << 32 | u[1]) + (LINE if u[4] else 0) for u in units], np.int64)
+            rows.append((doc_id, key, digests[::2], digests[1::2], span, np.array([u[2] << 32 | u[3] for u in units], np.int64)))
+            n += len(units)
+            if n > BATCH:
+                yield _frame(rows)
+                rows, n = [], 0
+    if rows:
+        yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")])
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, start, stop, n_words, kept_doc_id): spans to remove from texts of ``docs``.
+
+    ``kept_doc_id`` holds the earliest occurrence of the span's longest unit.
+    Null texts have no units; a null doc_id ranks last; repeated rows (one id, one
+    text) are one document; repeats within a document count as well.
+    """
+    rows = docs.filter(docs["text"].isNotNull()).select(
+        docs["doc_id"].alias("doc_id"), common.row_key(docs["text"]).alias("text_key"), docs["text"].alias("text")
+    )
+    # nullable ids would become floats in pandas: they travel as the largest long, which ranks last
+    none = F.lit((1 << 63) - 1)
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", none))
+    packed = common.cut(rows.mapInPandas(_units, UNITS))
+    units = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("d0", "d1", "span", "place")).alias("u")).select("doc_id", "text_key", "u.*")
+    at = F.struct("doc_id", "text_key", "place")
+    mark = F.xxhash64("doc_id", "text_key", "place")
+    first = units.groupBy(F.col("d0").alias("f0"), F.col("d1").alias("f1")).agg(
+        F.min(at).alias("first"), F.min(mark).alias("low"), F.max(mark).alias("high")
+    )
+    first = first.filter("low <> high").select("f0", "f1", "first")
+    again = units.join(first, (F.col("d0") == F.col("f0")) & (F.col("d1") == F.col("f1"))).filter(at != F.col("first"))
+    begin, end = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    again = again.select(
+        "doc_id", "text_key", "span", begin.alias("begin"), end.alias("end"), F.col("first").alias("kept"),
+    ).dropDuplicates(["doc_id", "text_key", "begin", "end"])
+    # what overlaps its own first occurrence would cut it
+    own = (F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.text_key") == F.col("text_key"))
+    again = again.filter(~own | (F.col("kept.place").bitwiseAND(F.lit((1 << 32) - 1)) <= F.col("begin")))
+    chars = F.col("span").bitwiseAND(F.lit((1 << 63) - 1))
+    again = again.select(
+        "doc_id", "text_key", "begin", "end", (F.col("span") < 0).alias("line"), F.col("kept.doc_id").alias("kept"),
+        F.shiftright(chars, 32).cast("int").alias("start"), chars.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("stop"),
+    )
+    doc = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
+    before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("new", F.when(before >= F.col("begin"), 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
+    unit = F.struct((F.col("begin") - F.col("end")).alias("n"), "begin", "end", "start", "stop", "kept")
+    runs = runs.groupBy("doc_id", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("begin")).alias("n_words"),
+        F.min(unit).alias("longest"), F.collect_list(F.when(F.col("line"), unit)).alias("lines"),
+    )
+    whole = F.struct("start", "stop", "n_words", F.col("longest.kept").alias("kept"))
+    of_line = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), (-x["n"]).alias("n_words"), x["kept"].alias("kept"))
+    spans = F.when(F.col("n_words") >= min_words, F.array(whole)).otherwise(F.transform("lines", of_line))
+    spans = runs.select("doc_id", "text_key", F.explode(spans).alias("s"))
+    real = lambda c: F.when(F.col(c) != none, F.col(c))
+    return spans.select(
+        real("doc_id").alias("doc_id"), "text_key", "s.start", "s.stop", F.col("s.n_words").cast("long").alias("n_words"),
+        real("s.kept").alias("kept_doc_id"),
+    )

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from blobloom.llm import common, decontam, language_id, line_dedup, mixing, oracles, quality, queries, sharding, simhash, substring_dedup, token_rollup, topk
+from blobloom.llm import common, decontam, language_id, line_dedup, mixing, oracles, passage_dedup, quality, queries, sharding, simhash, substring_dedup, token_rollup, topk
 
 from ..compare import same
 
@@ -237,6 +237,29 @@ def test_substring_odd(spark):
     assert [(r.doc_id, r.kept_doc_id) for r in substring_dedup.repeats(pair).collect()] == [(None, 3)]
 
 
+def test_substring_units_start_anywhere(spark):
+    """Copies are found whatever stands before them, where each word is a boundary too."""
+    shout = " ".join(f"W{i}" for i in range(40))
+    mixed = "It ends. So it goes on with a few more words here. No. Then There Is a Title and a sentence that is long enough. Well then, this is the very last one of them. "
+    rows = [(1, f"{shout}\nand"), (2, f"A {shout}"), (3, f"A B C {shout}"), (4, f"see {mixed}"), (5, f"Oh. {mixed}"), (6, f"One two. Oh no. {mixed}")]
+    got = defaultdict(list)
+    for r in passage_dedup.repeats(docs(spark, rows)).collect():
+        got[r.doc_id].append((dict(rows)[r.doc_id][r.start : r.stop].strip(), r.kept_doc_id))
+    assert dict(got) == {2: [(shout, 1)], 3: [(shout, 1)], 5: [(mixed.strip(), 4)], 6: [(mixed.strip(), 4)]}
+    # a passage doesn't cut its own first occurrence
+    loop = docs(spark, [(1, "A " * 60)])
+    assert [r.text.split() for r in substring_dedup.remove(loop, passage_dedup.repeats(loop)).collect()] == [["A"] * 5]
+
+
+def test_passages_odd(spark):
+    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in passage_dedup.repeats(odd(spark)).collect()}
+    text = " ".join(f"w{i % 977}" for i in range(30_000))
+    assert got == {(5, 0, len(text), 4)}
+    assert passage_dedup.repeats(docs(spark, [])).count() == 0
+    pair = docs(spark, [(None, "word " * 40), (3, "word " * 40)])
+    assert [(r.doc_id, r.kept_doc_id) for r in passage_dedup.repeats(pair).collect()] == [(None, 3)]
+
+
 # --- 5 line dedup ---
 
 PAGES = "page_id long, url string, html string, host string, lines string"
