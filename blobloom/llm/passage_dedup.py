@@ -4,11 +4,12 @@ Pieces end at line ends, after a sentence mark with white space, and before a
 capital after white space (a passage pasted into a line starts with one). A unit
 starts at each piece and takes pieces until it has ``UNIT_WORDS`` words: units
 overlap where pieces are short, and what comes before a unit doesn't change it.
-A unit is normalised
+Each line of ``UNIT_WORDS`` words or more is a unit as well. A unit is normalised
 (ASCII lower case, white space collapsed) and hashed to 128 bits; digests are
 grouped globally by a combining aggregation; the earliest occurrence, by document
-id and place, stays. Runs of repeated units of ``MIN_WORDS`` words or more are
-removed; shorter ones are idiom and are left alone. Removed spans keep their offsets in the original text.
+id and place, stays. Later occurrences of whole lines are removed, and so are
+runs of repeated units of ``MIN_WORDS`` words or more; shorter runs within lines
+are idiom and are left alone. Removed spans keep their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -41,14 +42,19 @@ def split_units(text: str) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
         found += text[a:b].encode().lower().split()
         upto.append(len(found))
     n = len(cuts) - 1
+    lines = [i for i in range(n) if not i or text[cuts[i] - 1] == "\n"] + [n]
+    line_end = dict(zip(lines, lines[1:]))
     j = 0
     for i in range(n):
         while j < n and upto[j] - upto[i] < UNIT_WORDS:
             j += 1
         if upto[j] - upto[i] < UNIT_WORDS:
             return
+        e = line_end.get(i, -1)
         if upto[i + 1] > upto[i]:  # not of white space only
-            yield cuts[i], cuts[j], upto[i], upto[j], False, b" ".join(found[upto[i] : upto[j]])
+            yield cuts[i], cuts[j], upto[i], upto[j], e == j, b" ".join(found[upto[i] : upto[j]])
+        if e > j:
+            yield cuts[i], cuts[e], upto[i], upto[e], True, b" ".join(found[upto[i] : upto[e]])
 
 
 def _units(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -251,6 +251,18 @@ def test_substring_units_start_anywhere(spark):
     assert [r.text.split() for r in substring_dedup.remove(loop, passage_dedup.repeats(loop)).collect()] == [["A"] * 5]
 
 
+def test_substring_short_lines(spark):
+    """Later occurrences of whole lines go, however short a run they make; pieces within lines and lines of four words don't."""
+    line = "All rights reserved. See the License."
+    rows = [(i, f"text number {i}\n{line}\nown words {i} {i} {i}\nof four words only\n") for i in range(4)]
+    rows.append((9, f"a line that goes on. {line} and more"))
+    d = docs(spark, rows)
+    spans = passage_dedup.repeats(d)
+    got = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.stop], r.n_words, r.kept_doc_id) for r in spans.collect()}
+    assert got == {i: (f"{line}\n", 6, 0) for i in (1, 2, 3)} and spans.count() == 3
+    assert {r.doc_id: r.text for r in substring_dedup.remove(d, spans).collect()} == {i: t if i in (0, 9) else t.replace(f"{line}\n", "") for i, t in rows}
+
+
 def test_passages_odd(spark):
     got = {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in passage_dedup.repeats(odd(spark)).collect()}
     text = " ".join(f"w{i % 977}" for i in range(30_000))
