@@ -452,30 +452,59 @@ def test_spark_hash_is_the_same(spark):
         assert spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(t.encode(), 42)
 
 
-@pytest.mark.parametrize("depth", [0, 3])
-def test_trie_walk(monkeypatch, depth):
+def labels(pairs, n):
+    f = simhash.Forest(n)
+    if pairs:
+        i, j = np.array(sorted(pairs)).T
+        f.link(i, j)
+    return f.label.tolist()
+
+
+@pytest.mark.parametrize("plain", [256, 8])
+def test_trie_walk(monkeypatch, plain):
+    monkeypatch.setattr(simhash, "PLAIN", plain)
+    monkeypatch.setattr(simhash, "LEAF", 4)
     r = np.random.default_rng(8)
     x = r.integers(0, 1 << 63, 300, dtype=np.uint64)
     near = x[:100] ^ (np.uint64(1) << r.integers(0, 61, 100, dtype=np.uint64))
-    top = np.uint64((1 << 64 - depth) - 1) if depth else np.uint64(2**64 - 1)
-    a = np.sort(np.unique(np.concatenate([x, near, near ^ np.uint64(4)])) & top)
-    b = np.sort(np.unique(np.concatenate([near ^ np.uint64(3), x[50:]])) & top)
-    for budget in (0, 1, 2, 3):
-        got = {(int(i), int(j)) for p, q in simhash.walk(a, b, False, budget, depth) for i, j in zip(p, q)}
-        assert got == {(i, j) for i in range(len(a)) for j in range(len(b)) if (int(a[i]) ^ int(b[j])).bit_count() <= budget}
-        got = {(int(i), int(j)) for p, q in simhash.walk(a, a, True, budget, depth) for i, j in zip(p, q)}
-        assert got == {(i, j) for i in range(len(a)) for j in range(len(a)) if i < j and (int(a[i]) ^ int(a[j])).bit_count() <= budget}
-
-
-def test_links_when_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "NODE_SMALL", 16)
+    a = np.sort(np.concatenate([x, near, near ^ np.uint64(4), x[:20]]))
+    b = np.sort(np.concatenate([near ^ np.uint64(3), x[50:]]))
+    every = lambda i, j: (i + j) >= 0
+    odd_only = lambda i, j: (i + j) % 3 > 0
+    for width, shift in ((64, 0), (32, 32)):
+        for budget in (0, 1, 2, 3):
+            for near_ in (every, odd_only):
+                u, v = np.sort(a >> np.uint64(shift)), np.sort(b >> np.uint64(shift))
+                apart = lambda p, q: (int(p) ^ int(q)).bit_count() <= budget  # noqa: E731, B023
+                want = {(i, j) for i in range(len(u)) for j in range(i) if apart(u[i], u[j]) and near_(i, j)}
+                assert simhash.Walk(u, width, budget, near_).run().tolist() == labels(want, len(u))
+                n = len(u)
+                want = {(i, n + j) for i in range(n) for j in range(len(v)) if apart(u[i], v[j]) and near_(i, n + j)}
+                assert simhash.Walk(np.concatenate([u, v]), width, budget, near_, n).run().tolist() == labels(want, n + len(v))
+
+
+def test_walk_of_a_large_cluster(monkeypatch):
+    """Equal and close fingerprints in one node, among others: joined without walking all pairs."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 30, 30_000, dtype=np.uint64)), r.integers(0, 1 << 32, 3000, dtype=np.uint64)])
+    x.sort()
+    tried = []
+    walk = simhash.Walk(x, 32, 3, lambda i, j: tried.append(len(i)) or np.ones(len(i), bool))
+    label = walk.run()
+    assert np.bincount(label).max() >= 30_000 and sum(tried) < 100 * len(x)
+
+
+@pytest.mark.parametrize("bucket", [1 << 16, 24])
+def test_links_when_dealt_out(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     r = random.Random(6)
     x = [r.getrandbits(64) for _ in range(150)]
     x += [v ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for v in x[:60]] + [v ^ (1 << r.randrange(64)) for v in x[:30]]
+    x += [x[0] ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]  # a bucket of many
     x = sorted(set(x))
     signed = [v - (1 << 64) if v >> 63 else v for v in x]
-    keys = spark.createDataFrame([(s, s) for s in signed], "id long, fp long")
-    got = {r.node: r.label for r in simhash.components(simhash.links(keys, 2)).collect()}
+    keys = spark.createDataFrame([(s, s) for s in signed], "id long, s0 long")
+    got = {r.node: r.label for r in simhash.components(simhash.links(keys, ["s0"], 64, 2)).collect()}
     assert [got.get(s, s) for s in signed] == brute_components(signed, x, 2)
 
 
@@ -525,8 +554,7 @@ def test_near_dedup(spark):
     rows = near_rows()
     kept = {r.doc_id for r in simhash.near_dedup(docs(spark, rows)).collect()}
     assert kept >= set(range(60)) and not any(2000 <= k for k in kept)
-    # two words of 300 are other ones; without common words some such pairs are over 3 bits apart
-    assert len([k for k in kept if 1000 <= k < 2000]) <= 5
+    assert not any(1000 <= k < 2000 for k in kept)  # two words of 300 are other ones
 
 
 def brute_near(texts):
@@ -564,6 +592,70 @@ def test_near_groups_are_exact(spark, monkeypatch, block):
     assert {x.doc_id for x in got if x.keep} == set(want.label.tolist())
 
 
+def altered(r, w, n, kind, fresh):
+    """A copy of words ``w`` with about ``n`` shingles that aren't there."""
+    v = list(w)
+    if kind == "words":
+        for _ in range(max(1, n // 5)):
+            v[r.randrange(len(v))] = fresh()
+    elif kind == "tail":
+        v = v[: len(v) - n]
+    elif kind == "block":
+        at = r.randrange(max(1, len(v) - n))
+        v[at : at + n] = [fresh() for _ in range(n)]
+    else:
+        v = [fresh() for _ in range(n)] + v
+    return v
+
+
+@pytest.mark.parametrize("natural", [False, True])
+def test_near_recall(spark, natural):
+    """Of pairs in each band of similarity 0.9 and more are found, by whatever edit and length."""
+    r = random.Random(11)
+    fresh = lambda: f"x{r.randrange(10**7)}"
+    if natural:
+        pool = sorted({x.text for x in common.read(spark, SF, "documents").collect() if x.text and len(x.text.split()) > 40})
+        base = [pool[i % len(pool)].split()[: 40 + 29 * i % 400] + [f"own{i}"] for i in range(160)]
+    else:
+        base = [[f"w{r.randrange(10**6)}" for _ in range(20 + 13 * i % 500)] for i in range(160)]
+    texts = []
+    for i, w in enumerate(base):
+        part = (0.03, 0.07, 0.09, 0.11)[i % 4]
+        texts += [" ".join(w), " ".join(altered(r, w, max(1, int(part * len(w))), ("words", "tail", "block", "head")[i // 4 % 4], fresh))]
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in texts]
+    got = {x.doc_id: x.group_id for x in simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    bands = defaultdict(list)
+    for i in range(0, len(texts), 2):
+        j = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+        bands[min(int(j * 20), 19)].append(got[i] == got[i + 1])
+    assert {16, 17, 18} <= set(bands)
+    for band in (16, 17, 18, 19):
+        assert np.mean(bands[band] or [1]) >= 0.9, (band, len(bands[band]))
+    if not natural:
+        assert not any(any(bands[b]) for b in bands if b < 16)
+
+
+def test_near_groups_of_a_large_cluster(spark, monkeypatch):
+    """A cluster of many blocks and what is near it without belonging to it."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r = random.Random(12)
+    w = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        v = list(w)
+        for _ in range(1 + i % 3 if i % 10 else 6):  # some are below the threshold
+            v[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    want = simhash.Forest(len(texts))
+    want.link(*np.array(sorted(brute_near(texts))).T)
+    least = {}
+    got = simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()
+    for x in got:
+        least[x.group_id] = min(x.doc_id, least.get(x.group_id, x.doc_id))
+    assert {x.doc_id: least[x.group_id] for x in got} == dict(enumerate(want.label.tolist()))
+    assert len(set(least.values())) > 1
+
+
 def test_near_dedup_odd(spark):
     out = simhash.near_dedup(odd(spark))
     assert out.columns == odd(spark).columns
