@@ -8,7 +8,10 @@
 * Host: share of each language on it, summed over the text posteriors of all its
   rows, smoothed by its address suffix's shares, and those by all rows' shares.
 
-A row is rejected if "und" wins, or if it has no letters at all.
+A row is rejected if "und" wins, or if it has no letters at all. At most
+``LANGUAGES`` languages with ``LEAST`` rows or more have a text model; a row that
+declares another one is not rejected for that, but keeps its declaration where no
+modelled language wins.
 """
 
 from __future__ import annotations
@@ -96,6 +99,12 @@ def fit(rows: DataFrame) -> TextModel:
     return TextModel(names, table)
 
 
+def place(host: str, suffix: str) -> Column:
+    """One key of a host and a suffix; nulls are values of their own."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    return F.concat(part(host), F.lit("\n"), part(suffix))
+
+
 def _softmax(x: str, n: int) -> Column:
     top = F.array_max(x)
     e = F.transform(x, lambda v: F.exp(v - top))
@@ -107,9 +116,11 @@ def identify(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Language of each row of ``rows``: ``keys``, declared, host, suffix, text (strings but for the keys).
 
     Returns keys, lang (None if rejected), probability, text_lang, declared and
-    rejected. Null texts and texts without letters are rejected; a null or
-    unheard-of declared language is no evidence; null hosts and suffixes are each
-    one group; repeated rows are treated alike; no rows give no rows.
+    rejected. Null texts and texts without letters are rejected; a null declared
+    language is no evidence; null hosts and suffixes are each one group; of equally
+    likely languages the first in order of names wins; repeated rows are treated
+    alike; texts are used whole, however long; columns other than those named are
+    ignored; no rows give no rows.
     """
     model = fit(rows)
     names, size = model.names, len(model.names)
@@ -138,9 +149,8 @@ def identify(rows: DataFrame, keys: list[str]) -> DataFrame:
     said = F.when(F.col("declared").isin(names[:-1]), said).otherwise(F.array(*[F.lit(0.0)] * size))
 
     # shares by host, suffix and over all: sums of posteriors, combined before any shuffle
-    sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(size)]
-    seen = log.filter("letters")
-    hosts = common.cut(seen.groupBy("host", "suffix").agg(*sums))
+    sums = [F.sum(F.when(F.col("letters"), F.col("post")[i]).otherwise(F.lit(0.0))).alias(f"s{i}") for i in range(size)]
+    hosts = common.cut(log.groupBy("host", "suffix").agg(*sums, F.count(F.lit(1)).alias("rows")))
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]
     suffixes = common.cut(hosts.groupBy("suffix").agg(*again))
     all_rows = suffixes.agg(*again).first()
@@ -150,24 +160,29 @@ def identify(rows: DataFrame, keys: list[str]) -> DataFrame:
     def shares(t: DataFrame, by: list[str], parent: list[Column], weight: float, prefix: str) -> DataFrame:
         n = sum((F.col(f"s{i}") for i in range(1, size)), F.col("s0"))
         p = F.array(*[(F.col(f"s{i}") + F.lit(weight) * parent[i]) / (n + F.lit(weight)) for i in range(size)])
-        return t.select(*[F.col(c).alias(f"{prefix}_{c}") for c in by], p.alias(f"{prefix}_p"))
+        return t.select(*[F.col(c).alias(f"{prefix}_{c}") for c in by], p.alias(f"{prefix}_p"), *([F.col("rows")] if "host" in by else []))
 
     sfx = shares(suffixes, ["suffix"], [F.lit(x) for x in base], SUFFIX_WEIGHT, "x")
     up = hosts.join(common.small(sfx, suffixes.count()), F.col("suffix").eqNullSafe(F.col("x_suffix")))
     pri = shares(up, ["host", "suffix"], [F.col("x_p")[i] for i in range(size)], HOST_WEIGHT, "h")
-    fused = log.join(
-        common.small(pri, hosts.count()),
-        F.col("host").eqNullSafe(F.col("h_host")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left",
-    )
-    prior = F.coalesce("h_p", F.array(*[F.lit(float(x)) for x in base]))
+    pri = common.cut(pri.select(place("h_host", "h_suffix").alias("h_place"), "h_p", "rows"))
+    log = log.withColumn("place", place("host", "suffix"))
+    n_hosts = pri.count()
+    if n_hosts <= common.BROADCAST_ROWS:
+        fused = log.join(F.broadcast(pri.drop("rows")), F.col("place") == F.col("h_place"))
+    else:
+        fused = common.join_hot(log, pri, "place", "h_place", "rows", log.count())
+    prior = F.col("h_p")
     score = F.zip_with(F.zip_with("ll", F.transform(prior, lambda v: F.log(v)), lambda a, b: a + b), said, lambda a, b: a + b)
     fused = fused.withColumn("score", score).withColumn("p", _softmax("score", size))
     top = F.array_max("p")
     lang = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("p", top).cast("int"))
     fused = fused.withColumn("best", lang).withColumn("top", top)
-    bad = ~F.col("letters") | (F.col("best") == UNKNOWN) | (F.col("top") < REJECT_BELOW)
+    lost = (F.col("best") == UNKNOWN) | (F.col("top") < REJECT_BELOW)
+    other = F.col("declared").isNotNull() & ~F.col("declared").isin([*names[:-1], UNKNOWN])
+    bad = ~F.col("letters") | (lost & ~other)
     return fused.select(
-        *keys, F.when(~bad, F.col("best")).alias("lang"), F.col("top").alias("probability"), "text_lang", "declared", bad.alias("rejected")
+        *keys, F.when(~bad, F.when(lost, F.col("declared")).otherwise(F.col("best"))).alias("lang"), F.col("top").alias("probability"), "text_lang", "declared", bad.alias("rejected")
     )
 
 

@@ -44,7 +44,7 @@ def host(url: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line_key, pages, ratio): lines to drop on a host."""
+    """(host, line_key, pages, of, ratio): lines to drop on a host, of whose ``of`` pages ``pages`` hold them."""
     rows = pages.select(host(pages["url"]).alias("host"), lines(pages["html"]).alias("lines"))
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     held = rows.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line_key"))
@@ -52,25 +52,36 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     hosts = hosts.withColumnRenamed("host", "h_host")
     both = held.join(hosts, F.col("host") == F.col("h_host"))
     ratio = F.col("pages") / F.col("of")
-    return both.select("host", "line_key", "pages", ratio.alias("ratio")).filter(F.col("ratio") > max_ratio)
+    return both.select("host", "line_key", "pages", "of", ratio.alias("ratio")).filter(F.col("ratio") > max_ratio)
 
 
 def line_key(line: Column) -> Column:
-    return F.md5(line)
+    return F.unhex(F.md5(line.cast("binary")))
 
 
 def clean(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of each row of ``pages`` (page_id, url, html).
 
     Null or hostless addresses are one host; null markup has no lines and an empty
-    text; rows are told apart by (page_id, url, html), and repeated rows count as
-    pages of their own and are all returned; no pages give no rows.
+    text; repeated rows count as pages of their own and are all returned; a page may
+    be of any length; ties don't arise, as a ratio decides alone; extra columns are
+    ignored; no pages give no rows.
     """
-    bad = common.cut(boilerplate(pages, max_ratio, min_pages).select(F.col("host").alias("b_host"), "line_key"))
-    n = bad.count()
-    per_host = bad.groupBy("b_host").agg(F.collect_set("line_key").alias("bad"))  # a host's boilerplate: at most lines / MAX_RATIO of a page
+    bad = boilerplate(pages, max_ratio, min_pages).select(F.col("host").alias("b_host"), "line_key", "of")
+    # a host's boilerplate: fewer lines than its average page has, divided by max_ratio
+    per_host = bad.groupBy("b_host").agg(F.collect_set("line_key").alias("bad"), F.max("of").alias("of"), F.count(F.lit(1)).alias("k"))
+    per_host = common.cut(per_host)
+    n = per_host.agg(F.sum("k")).first()[0] or 0
     rows = pages.select(pages["page_id"].alias("page_id"), host(pages["url"]).alias("host"), lines(pages["html"]).alias("lines"))
-    both = rows.join(common.small(per_host, n), F.col("host") == F.col("b_host"), "left")
+    if n <= common.BROADCAST_ROWS:
+        both = rows.join(F.broadcast(per_host), F.col("host") == F.col("b_host"), "left")
+    else:  # facts of large hosts go to where their pages are; pages of the others, each a small part, meet them by shuffle
+        total = pages.count()
+        sure = per_host.select(F.col("b_host").alias("s_host"))
+        both = common.join_hot(rows, per_host, "host", "b_host", "of", total)
+        hot = F.broadcast(per_host.filter(F.col("of") > F.lit(total * common.HOT)).select(F.col("b_host").alias("_h")))
+        none = rows.join(hot, F.col("host") == F.col("_h"), "left_anti").join(sure, F.col("host") == F.col("s_host"), "left_anti")
+        both = both.unionByName(none, allowMissingColumns=True)
     keep = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), line_key(x)))
     )

@@ -28,10 +28,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_hash(doc_id: Column, seed: str) -> Column:
-    """52 bits that order documents; a null id counts as the empty string."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+def order_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """52 bits that order documents by id and text, so that rows of one id or none are spread; null counts as the empty string."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: dict[str | None, float] | None, budget: float, max_epochs: float) -> DataFrame:
@@ -141,7 +141,7 @@ def mix(
     base = docs.select(
         docs["doc_id"].alias("doc_id"),
         docs["source"].alias("source"),
-        order_hash(docs["doc_id"], seed).alias("u"),
+        order_hash(docs["doc_id"], docs["text"], seed).alias("u"),
         word_count(docs["text"]).alias("size"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []),
     )

@@ -18,7 +18,7 @@ def mixing_sql() -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u
+         ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -139,13 +139,13 @@ WITH crc AS (
 d AS (
   SELECT doc_id, source, lang, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size,
          xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
-           lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {sharding.BUCKET_DIGITS}))::INT AS bucket
+           lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
   FROM documents, crc),
 s AS (SELECT source, floor((sum(count(*)) OVER (ORDER BY source NULLS LAST) - count(*)) * {1 << bits}.0 / sum(count(*)) OVER ()) AS q FROM d GROUP BY source),
 l AS (SELECT lang, floor((sum(count(*)) OVER (ORDER BY lang NULLS LAST) - count(*)) * {1 << bits}.0 / sum(count(*)) OVER ()) AS q FROM d GROUP BY lang),
 c AS (
-  SELECT d.*, {cells}[((s.q * {1 << bits} + l.q) * {1 << bits} + least(length(bin(size)) - 1, {(1 << bits) - 1}))::INT + 1] AS cell
+  SELECT d.*, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text_crc32::VARCHAR, '') || ':' || size::VARCHAR), 1, {sharding.BUCKET_DIGITS}))::INT AS bucket,
+         {cells}[((s.q * {1 << bits} + l.q) * {1 << bits} + least(length(bin(size)) - 1, {(1 << bits) - 1}))::INT + 1] AS cell
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN l ON d.lang IS NOT DISTINCT FROM l.lang),
 r AS (
   SELECT *, row_number() OVER (ORDER BY cell, bucket, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS pos, count(*) OVER () AS n FROM c)

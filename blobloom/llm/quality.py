@@ -154,9 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
             )
 
     got = rows.mapInPandas(bags, "id bigint, label int, n int, x binary")
-    # bounded as well for very long documents: whole bags, in hash order, up to TRAIN_PASSAGES passages
+    # bounded as well for very long documents: whole bags, in hash order, those that still fit in TRAIN_PASSAGES passages
     got = got.withColumn("o", F.xxhash64("id")).orderBy("o", "id").limit(TRAIN_DOCS).toPandas()
-    got = got[got["n"].cumsum().le(TRAIN_PASSAGES) | (got.index == 0)] if len(got) else got
+    fits, used = [], 0
+    for n in got["n"]:
+        fits.append(used + n <= TRAIN_PASSAGES)
+        used += n * fits[-1]
+    got = got[np.array(fits, bool)]
     if not len(got):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), 0.5)
     x = np.concatenate([np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got["x"]]).astype(np.float32)

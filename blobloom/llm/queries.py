@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, mixing, passage_dedup, quality, sharding, simhash, substring_dedup, token_rollup, topk
+from . import common, decontam, language_id, line_dedup, mixing, passage_dedup, quality, sharding, simhash, substring_dedup, token_rollup, topk
 from .common import read
 
 
@@ -44,12 +44,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits all documents as one batch of inserts, replays it (a no-op), and returns the totals."""
+    """Totals of all documents after inserts, revisions and deletes that come and go, each batch committed twice.
+
+    Every text is encoded once, to signed counts of its key; revisions count each
+    document's source as revised text of one token more and take that back.
+    """
+    docs = read(spark, sf_dir, "documents")
     rollup = token_rollup.fresh(spark)
-    changes = token_rollup.counted(read(spark, sf_dir, "documents"))
-    rollup.commit("load-1", changes)
-    rollup.commit("load-1", changes)
-    return rollup.totals()
+    load = common.cut(token_rollup.counted(docs))
+    revised = load.withColumn("n_tokens", F.col("n_tokens") + F.col("n_docs"))
+    signed = lambda df, k: df.withColumns({c: F.col(c) * k for c in ("n_docs", "n_tokens")})
+    for name, changes in (
+        ("load-1", load), ("revise-1", signed(load, -1).unionByName(revised)), ("delete-1", signed(revised, -1)),
+        ("load-2", revised), ("revise-2", signed(revised, -1).unionByName(load)),
+    ):
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)
+    rollup.compact()
+    totals = common.cut(rollup.totals())
+    rollup.drop()
+    return totals
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

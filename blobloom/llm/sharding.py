@@ -5,9 +5,14 @@ logarithm. Rows are ordered by curve index, then by a hash of their id, and the
 order is cut into runs whose row counts differ by one at most, so that a file's
 min/max statistics are narrow in all three dimensions.
 
-No task gets a whole cell: a cell is dealt into buckets by id hash, counts of
-(cell, bucket) give each bucket's first position, and only rows of one bucket
-are numbered together.
+No task gets a whole cell: a cell is dealt into buckets by a hash of id, text and
+size, counts of (cell, bucket) give each bucket's first position, and only rows of
+one bucket are numbered together; rows that are equal in all these are counted
+before they are.
+
+With ``keep``, rows are dealt to files as they are numbered: a file lies in one
+shard and holds one run of slots, in order, so that readers can skip files by
+shard, slot, cell, source, language or size.
 """
 
 from __future__ import annotations
@@ -17,10 +22,14 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 BITS = 4
 SHARDS = 8
-#: Hex digits of the id's MD5 that deal a cell into buckets.
+#: Hex digits of the MD5 that deals a cell into buckets.
 BUCKET_DIGITS = 3
+#: Bytes of text in a file of a shard, about.
+FILE_BYTES = 128 << 20
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -83,24 +92,29 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
+def bucket(doc_id: Column, crc: Column, size: Column) -> Column:
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(crc.cast("string"), F.lit("")), size.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, BUCKET_DIGITS), 16, 10).cast("int")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, keep: bool = False) -> DataFrame:
     """Deals rows (doc_id, text, lang, source, ...) into ``shards`` runs of the curve.
 
     Returns doc_id, size, text_crc32, law ("rows"), cell, shard, slot and
     grown_shard (null), or with ``keep`` the columns of ``docs`` (first of each
-    name among the needed ones) and shard, slot, cell. Null texts have size 1 and
-    a null CRC; null ids, sources and languages are values of their own, last in
-    order; repeated rows each get a slot; no rows give no rows.
+    name among the needed ones) and shard, slot, cell, dealt to files. A null text
+    has no bytes, so its size is 1, and a null CRC; null ids, sources and languages
+    are values of their own, last in order; repeated rows each get a slot; texts
+    may be of any length; no rows give no rows.
     """
+    text = docs["text"]
     rows = docs.select(
         docs["doc_id"].alias("doc_id"),
         docs["source"].alias("s_source"),
         docs["lang"].alias("s_lang"),
-        text_size(docs["text"]).alias("size"),
-        F.crc32(docs["text"].cast("binary")).alias("text_crc32"),
-        F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, BUCKET_DIGITS), 16, 10)
-        .cast("int")
-        .alias("bucket"),
+        text_size(text).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        bucket(docs["doc_id"], F.crc32(text.cast("binary")), text_size(text)).alias("bucket"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []),
     )
     src = equi_depth(docs.select(docs["source"].alias("v")), "v", bits).select(
@@ -119,7 +133,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, keep: bool =
     )
 
     # first position of each (cell, bucket), and the number of rows
-    counts = rows.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = common.cut(rows.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
     in_cell = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     buckets = counts.select("cell", "bucket", (F.sum("n").over(in_cell) - F.col("n")).alias("b"))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("n"))
@@ -133,23 +147,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, keep: bool =
         F.col("cell").alias("f_cell"), F.col("bucket").alias("f_bucket"), (F.col("b") + F.col("c")).alias("first"), "total"
     )
     in_bucket = Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("at", F.row_number().over(in_bucket) - 1)
+    if keep:
+        ranked = rows.withColumn("at", F.row_number().over(in_bucket) - 1)
+    else:
+        alike = rows.groupBy("cell", "bucket", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("k"))
+        before = F.sum("k").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+        ranked = alike.withColumn("before", before).withColumn("at", F.explode(F.expr("sequence(before, before + k - 1)")))
     ranked = ranked.join(first, (F.col("cell") == F.col("f_cell")) & (F.col("bucket") == F.col("f_bucket")))
-    n, pos = F.col("total"), (F.col("first") + F.col("at")).cast("long")
-    ranked = ranked.withColumn("pos", pos).withColumn("shard", F.expr(f"cast(pos * {shards} div total as int)"))
+    ranked = ranked.withColumn("pos", (F.col("first") + F.col("at")).cast("long"))
+    ranked = ranked.withColumn("shard", F.expr(f"cast(pos * {shards} div total as int)"))
     slot = F.col("pos") - F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    del n
-    if keep:
-        names = list(dict.fromkeys(docs.columns))
-        own = [F.col("row").getField(c).alias(c) for c in names if c not in ("shard", "slot", "cell")]
-        return ranked.select(*own, "shard", slot.cast("long").alias("slot"), "cell")
-    return ranked.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "cell",
-        "shard",
-        slot.cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    if not keep:
+        return ranked.select(
+            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "cell", "shard", slot.cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
+    names = list(dict.fromkeys(docs.columns))
+    own = [F.col("row").getField(c).alias(c) for c in names if c not in ("shard", "slot", "cell")]
+    of_bytes = counts.agg(F.sum("bytes")).first()[0] or 0
+    files = max(1, -(-of_bytes // (shards * FILE_BYTES)))
+    # a file is a range of positions within a shard: its number is the partition's
+    nth = F.expr(f"cast(pos * {shards * files} div total as int)") if files > 1 else F.col("shard")
+    ranked = ranked.select(*own, "shard", slot.cast("long").alias("slot"), "cell", nth.alias("_file"))
+    return ranked.repartitionById(shards * files, F.col("_file")).sortWithinPartitions("slot").drop("_file")

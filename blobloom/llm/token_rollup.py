@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A BPE vocabulary in rank format; the same path on every machine.
+#: A BPE vocabulary in rank format, the default of ``path``: a file that is there on every machine under this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How such a vocabulary cuts text before merging (fixed value, published with it).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -46,7 +46,9 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
 def counted(docs: DataFrame, path: str = VOCABULARY, version: str | None = None, sign: int = 1) -> DataFrame:
     """Changes (source, lang, tokenizer, n_docs, n_tokens) that insert (or with ``sign`` -1 delete) rows of ``docs``.
 
-    Null texts have no tokens; null sources and languages are values of their own.
+    Null and empty texts have no tokens; null sources and languages are values of
+    their own; repeated rows count each; texts are encoded whole, however long; no
+    rows give no changes; columns other than source, lang and text are ignored.
     """
 
     def tally(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,11 +99,18 @@ class Rollup:
         # how many files: a batch has a row per key at most
         sums.filter("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.parquet(str(draft.toString()))
         place = self._at(f"batch={batch_id}")
-        if self._fs.exists(place) or not self._fs.rename(draft, place):
+        # a rename onto a directory that is there by now fails, or puts the draft inside it
+        lost = self._at(f"batch={batch_id}/{draft.getName()}")
+        if self._fs.exists(place) or not self._fs.rename(draft, place) or self._fs.exists(lost):
             self._fs.delete(draft, True)
+            self._fs.delete(lost, True)
             return False
         return True
 
+    def drop(self) -> None:
+        """Deletes the rollup with all its batches."""
+        self._fs.delete(self._path(self.folder), True)
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens); keys whose counts have gone to zero are left out."""
         folded = self._folded()
@@ -126,7 +135,10 @@ class Rollup:
 
 
 def delta(old: DataFrame, new: DataFrame, path: str = VOCABULARY, version: str | None = None) -> DataFrame:
-    """Changes that turn counts of ``old`` rows into counts of ``new`` rows: deletes, inserts and revisions alike."""
+    """Changes that turn counts of ``old`` rows into counts of ``new`` rows: deletes, inserts and revisions alike.
+
+    Either may be empty; rows are treated as by ``counted``.
+    """
     return counted(old, path, version, -1).unionByName(counted(new, path, version, 1))
 
 

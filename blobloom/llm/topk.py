@@ -1,19 +1,19 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Vectors are put in order of descending length and cut into blocks. A query's
-k-th best score from the first block is a threshold; later blocks count only
-while length of query times longest vector of the block reaches it, so each
-block of queries names the leading blocks that it needs and meets them by an
-equi-join on the block number. Within a block the first rotated coordinates give
-partial sums; Cauchy-Schwarz on what is left prunes all but a few candidates,
-which are scored exactly in integers. The rotation comes from the SVD of a
-bounded sample and moves most of the length into the first coordinates; any
-rotation gives the same results.
+Vectors are put in order of descending length, in ranges, and cut into blocks that
+stay where they are. Queries come to them in rounds of at most ``QUERIES``, by
+broadcast. The longest block gives each query of a round a threshold, its k-th best
+score there; a block counts only for queries whose length times the block's longest
+reaches the threshold. Within a block the first rotated coordinates give partial
+sums; Cauchy-Schwarz on what is left prunes all but a few candidates, which are
+scored exactly in integers, and a task's thresholds rise as it finds better ones.
+The rotation comes from the SVD of a bounded sample and moves most of the length
+into the first coordinates; any rotation gives the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,34 +24,35 @@ from . import common
 
 K = 5
 EVERY = 50
-#: Vectors in a block of candidates and of queries; vectors that the rotation is fitted on.
-BLOCK, QUERIES, SAMPLE = 4096, 512, 4096
-#: Block numbers up to this many go to executors as one array of longest lengths.
-MAX_BLOCKS = 1_000_000
-#: Integers to this size are exact in float64.
-EXACT = 2.0**52
-
-PACKED = "block int, n int, longest double, ids binary, vecs binary"
-
-
-def _pack(block: int, g: pd.DataFrame, dims: int) -> pd.DataFrame:
-    v = np.zeros((len(g), dims), np.int64)
-    for i, x in enumerate(g["v"]):
-        v[i, : len(x)] = x
-    norm = np.sqrt((v.astype(float) ** 2).sum(axis=1))
-    order = np.lexsort((g["id"].to_numpy(), -norm))
-    return pd.DataFrame(
-        {
-            "block": [block],
-            "n": [len(g)],
-            "longest": [float(norm.max())],
-            "ids": [g["id"].to_numpy(np.int64)[order].tobytes()],
-            "vecs": [v[order].tobytes()],
-        }
-    )
+#: Vectors in a block of candidates and in a round of queries; vectors that the rotation is fitted on.
+BLOCK, QUERIES, SAMPLE = 4096, 8192, 4096
+#: Queries of a round that meet a block at once, and pairs that are scored at once.
+STEP, PAIRS = 512, 1 << 16
+
+PACKED = "longest double, ids binary, vecs binary"
+
+
+def packed(it: Iterator[pd.DataFrame], per: int, dims: int) -> Iterator[pd.DataFrame]:
+    """Runs of ``per`` vectors (id, v), in the order they come in, one row each."""
 
+    def row(ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        longest = np.sqrt((v.astype(float) ** 2).sum(axis=1).max())
+        return pd.DataFrame({"longest": [longest], "ids": [ids.tobytes()], "vecs": [v.tobytes()]})
 
-def _unpack(ids: bytes, vecs: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, vecs = np.zeros(0, np.int64), np.zeros((0, dims), np.int64)
+    for g in it:
+        v = np.zeros((len(g), dims), np.int64)
+        for i, x in enumerate(g["v"]):
+            v[i, : len(x)] = x
+        ids, vecs = np.concatenate([ids, g["id"].to_numpy(np.int64)]), np.concatenate([vecs, v])
+        while len(ids) >= per:
+            yield row(ids[:per], vecs[:per])
+            ids, vecs = ids[per:], vecs[per:]
+    if len(ids):
+        yield row(ids, vecs)
+
+
+def unpacked(ids: bytes, vecs: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int64).reshape(-1, dims)
 
 
@@ -62,46 +63,65 @@ def rotation(sample: np.ndarray, dims: int) -> np.ndarray:
     return np.linalg.svd(sample.T @ sample)[0]
 
 
-def search(
-    q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, floor: np.ndarray, turn: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, score) of the up to ``k`` best of ``c`` for each query, of those that reach ``floor``."""
-    dims = q.shape[1]
-    head = max(1, dims // 4)
-    qf, cf = q @ turn, c @ turn
-    slack = 1e-9
-    q_rest = np.sqrt((qf[:, head:] ** 2).sum(axis=1))
-    c_rest = np.sqrt((cf[:, head:] ** 2).sum(axis=1))
-    q_len, c_len = np.sqrt((qf**2).sum(axis=1)), np.sqrt((cf**2).sum(axis=1))
-    exact = float(q_len.max(initial=0)) * float(c_len.max(initial=0)) < EXACT
-    qd, cd = (q.astype(float), c.astype(float)) if exact else (q.astype(object), c.astype(object))
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    step = 1024
-    for i in range(len(q)):
-        best_s, best_id, low = np.zeros(0, float if exact else object), np.zeros(0, np.int64), floor[i]
-        for at in range(0, len(c), step):
-            end = min(at + step, len(c))
-            margin = slack * (1 + q_len[i] * c_len[at])
-            if q_len[i] * c_len[at] + margin < low:
-                break  # lengths only fall from here
-            part = cf[at:end, :head] @ qf[i, :head] + c_rest[at:end] * q_rest[i]
-            hit = np.flatnonzero((part + margin >= low) & (c_ids[at:end] != q_ids[i])) + at
-            if not len(hit):
-                continue
-            s, ids = np.concatenate([best_s, cd[hit] @ qd[i]]), np.concatenate([best_id, c_ids[hit]])
-            keep = np.lexsort((ids, -s))[:k] if exact else np.array(sorted(range(len(s)), key=lambda x: (-s[x], ids[x]))[:k])
-            best_s, best_id = s[keep], ids[keep]
-            if len(keep) == k:
-                low = max(low, float(best_s[-1]))
-        if len(best_s):
-            out.append((i, best_id, best_s))
-    if not out:
-        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (
-        np.concatenate([np.full(len(x), i) for i, x, _ in out]),
-        np.concatenate([x for _, x, _ in out]),
-        np.array([int(v) for _, _, s in out for v in s], np.int64),
-    )
+class Search:
+    """The best ``k`` of the blocks seen so far for each query of a round, of those that reach ``low``."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, low: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.q, self.low, self.turn, self.k = ids, q, low.copy(), turn, k
+        self.head = max(1, q.shape[1] // 4)
+        self.qf = q @ turn
+        self.rest = np.sqrt((self.qf[:, self.head :] ** 2).sum(axis=1))
+        self.len = np.sqrt((self.qf**2).sum(axis=1))
+        self.at = np.zeros(0, np.int64)
+        self.got_id, self.got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def block(self, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
+        reach = np.flatnonzero(self.len * longest * (1 + 1e-9) + 1e-6 >= self.low)
+        if not len(reach):
+            return
+        cf = c @ self.turn
+        rest = np.sqrt((cf[:, self.head :] ** 2).sum(axis=1))
+        for s in range(0, len(reach), STEP):
+            r = reach[s : s + STEP]
+            most = self.qf[r, : self.head] @ cf[:, : self.head].T + self.rest[r, None] * rest[None, :]
+            slack = 1e-9 * (1 + self.len[r] * longest)
+            i, j = np.nonzero(most + slack[:, None] >= self.low[r, None])
+            i = r[i]
+            other = self.ids[i] != ids[j]
+            i, j = i[other], j[other]
+            for p in range(0, len(i), PAIRS):
+                a, b = i[p : p + PAIRS], j[p : p + PAIRS]
+                # sums wrap, so a score that fits a long is right whatever its parts are
+                self.keep(a, ids[b], np.einsum("nd,nd->n", self.q[a], c[b]))
+
+    def keep(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        better = score >= self.low[at]
+        at, ids, score = at[better], ids[better], score[better]
+        if not len(at):
+            return
+        at, ids, score = np.concatenate([self.at, at]), np.concatenate([self.got_id, ids]), np.concatenate([self.got, score])
+        order = np.lexsort((ids, ~score, at))  # ~ turns integers round without overflow
+        at, ids, score = at[order], ids[order], score[order]
+        first = np.searchsorted(at, at)
+        rank = np.arange(len(at)) - first
+        last = rank == self.k - 1
+        # a float a little below the k-th best: nothing that ties with it is lost
+        self.low[at[last]] = np.maximum(self.low[at[last]], score[last] - np.abs(score[last]) * 1e-12 - 1e-6)
+        top = rank < self.k
+        self.at, self.got_id, self.got = at[top], ids[top], score[top]
+
+
+def thresholds(ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best score among ``c``; -inf if there are fewer."""
+    low = np.full(len(q), -np.inf)
+    qf, cf = q.astype(float), c.astype(float)
+    lengths = np.sqrt((qf**2).sum(axis=1)) * np.sqrt((cf**2).sum(axis=1).max(initial=0))
+    for s in range(0, len(q), STEP):
+        part = qf[s : s + STEP] @ cf.T
+        part[ids[s : s + STEP, None] == c_ids[None, :]] = -np.inf
+        if part.shape[1] >= k:
+            low[s : s + STEP] = np.partition(part, -k, axis=1)[:, -k]
+    return low - 1e-9 * (1 + lengths)
 
 
 def vectors(table: DataFrame, scale: int = 256) -> DataFrame:
@@ -124,104 +144,58 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     and rows without an id, take no part; shorter vectors count as padded with
     zeros. A query is not its own candidate (by id); a repeated row is a candidate
     and a query of its own, so its results are repeated. Scores must fit a long.
-    No vectors give no rows.
+    Other columns are ignored. No vectors give no rows.
     """
     spark = table.sparkSession
-    rows = common.cut(vectors(table))
+    rows = vectors(table)
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    found_schema = "query_id bigint, q_row bigint, vec_id bigint, score bigint"
     if not n or not dims:
-        dims = max(1, dims or 0)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
     fit = np.zeros((len(sample), dims))
     for i, x in enumerate(sample):
         fit[i, : len(x)] = x
     turn = rotation(fit, dims)
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        return _pack(int(g["block"].iloc[0]), g, dims)
-
-    def blocks(of: DataFrame, count: int, per: int) -> DataFrame:
-        """Runs of ``per`` vectors in order of descending length, ids breaking ties, one row each."""
-        parts = max(1, -(-count // (8 * per)))
-        ranged = of.repartitionByRange(parts, F.desc("norm2"), F.col("id")).sortWithinPartitions(F.desc("norm2"), "id")
-        ranged = common.cut(ranged.select("id", "v"))  # from here on partitions and their order are fixed
-        sizes = {r[0]: r[1] for r in ranged.groupBy(F.spark_partition_id()).count().collect()}  # a row for 8 blocks
-        first, at = [], 0
-        for p in range(max(sizes, default=-1) + 1):
-            first.append(at)
-            at += sizes.get(p, 0)
-        start = F.element_at(F.lit(first or [0]), F.spark_partition_id() + 1)
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = ranged.select("id", "v", F.floor((start + row) / per).cast("int").alias("block"))
-        return common.cut(numbered.groupBy("block").applyInPandas(pack, PACKED))
-
-    cand = blocks(rows, n, BLOCK)
+    per_block, per_round = BLOCK, QUERIES
+    parts = max(1, -(-n // (8 * per_block)))
+    ranged = rows.repartitionByRange(parts, F.desc("norm2"), F.col("id")).sortWithinPartitions(F.desc("norm2"), "id").select("id", "v")
+    cand = common.cut(ranged.mapInPandas(lambda it: packed(it, per_block, dims), PACKED))
     ask = rows.filter(F.col("id") % every == 0)
-    asked = blocks(ask, ask.count(), QUERIES).drop("longest")
-    lengths = cand.select("block", "longest", "n").orderBy("block").limit(MAX_BLOCKS).toPandas()
-    if not len(lengths):
+    n_ask = ask.count()
+    ask = ask.repartition(max(1, -(-n_ask // (4 * per_round))), "id").select("id", "v").mapInPandas(lambda it: packed(it, per_round, dims), PACKED)
+    asked = common.cut(ask.withColumn("round", F.monotonically_increasing_id()))
+    rounds = [r[0] for r in asked.select("round").collect()]  # a number for QUERIES queries
+    if not rounds:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    block_no, longest = lengths["block"].to_numpy(), lengths["longest"].to_numpy()
-    if len(lengths) == MAX_BLOCKS:
-        raise ValueError("as many blocks as MAX_BLOCKS: raise BLOCK")
-    head_block = int(block_no[0])
-
-    FOUND = "q_block int, q_row int, query_id bigint, vec_id bigint, score bigint"
-
-    def score(pair: Mapping, floors: list[float] | None) -> pd.DataFrame:
-        q_ids, q = _unpack(pair["q_ids"], pair["q_vecs"], dims)
-        c_ids, c = _unpack(pair["ids"], pair["vecs"], dims)
-        low = np.asarray(floors, float) if floors is not None else np.full(len(q), -np.inf)
-        i, ids, s = search(q, q_ids, c, c_ids, low, turn, k)
-        return pd.DataFrame({"q_block": pair["q_block"], "q_row": i, "query_id": q_ids[i], "vec_id": ids, "score": s})
-
-    # one block of BLOCK vectors, whatever the table's size, goes to all executors
-    head = spark.sparkContext.broadcast(cand.filter(F.col("block") == head_block).select("ids", "vecs").first())
-
-    def first_block(it):
-        for g in it:
-            for _, row in g.iterrows():
-                yield score({"ids": head.value["ids"], "vecs": head.value["vecs"], **row}, None)
-
-    q = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    seeds = q.mapInPandas(first_block, FOUND)
-    seeds = common.cut(seeds)
-    # per query block: thresholds of its queries, and the leading blocks that can reach one
-    kth = seeds.groupBy("q_block", "q_row").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c"))
-    kth = kth.groupBy("q_block").agg(F.collect_list(F.struct("q_row", "low", "c")).alias("lows"))
-    q = q.join(kth, "q_block", "left")
-
-    def needs(it):
-        for g in it:
-            for _, row in g.iterrows():
-                ids, v = _unpack(row["q_ids"], row["q_vecs"], dims)
-                low = np.full(len(ids), -np.inf)
-                for x in row["lows"] if row["lows"] is not None else []:
-                    if x["c"] >= k:
-                        low[x["q_row"]] = x["low"]
-                norm = np.sqrt((v.astype(float) ** 2).sum(axis=1))
-                reach = (norm[:, None] * longest[None, :] * (1 + 1e-9) + 1e-6 >= low[:, None]).any(axis=0)
-                reach[0] = False
-                met = block_no[reach]
-                if not len(met):
-                    continue
-                yield pd.DataFrame(
-                    {"q_block": row["q_block"], "block": met, "q_ids": [row["q_ids"]] * len(met),
-                     "q_vecs": [row["q_vecs"]] * len(met), "floors": [low.tolist()] * len(met)}
-                )
-
-    pairs = q.mapInPandas(needs, "q_block int, block int, q_ids binary, q_vecs binary, floors array<double>")
-    # a pair is a unit of work of its own, so pairs are dealt out after they have met
-    met = pairs.join(cand, "block").repartition(F.col("q_block"), F.col("block"))
-
-    def rest(it):
-        for g in it:
-            for _, pair in g.iterrows():
-                yield score(pair, pair["floors"])
-
-    found = seeds.unionByName(met.mapInPandas(rest, FOUND))
-    # at most k rows of each pair reach this; keep k of a query
-    best = found.groupBy("q_block", "q_row", "query_id").agg(
+    longest = cand.orderBy(F.desc("longest")).select("ids", "vecs").first()
+    head = unpacked(longest["ids"], longest["vecs"], dims)
+
+    def one_round(number: int) -> DataFrame:
+        got = asked.filter(F.col("round") == number).first()
+        ids, q = unpacked(got["ids"], got["vecs"], dims)
+        sent = spark.sparkContext.broadcast((ids, q, thresholds(ids, q, *head, k), turn))
+        first = number * per_round
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, low, turn = sent.value
+            search = Search(ids, q, low, turn, k)
+            for g in it:
+                for c_ids, vecs, reach in zip(g["ids"], g["vecs"], g["longest"], strict=True):
+                    search.block(*unpacked(c_ids, vecs, dims), reach)
+            yield pd.DataFrame({"query_id": ids[search.at], "q_row": first + search.at, "vec_id": search.got_id, "score": search.got})
+
+        found = cand.select("ids", "vecs", "longest").mapInPandas(run, found_schema)
+        if len(rounds) > 1:  # else the plan would hold all rounds
+            found = common.cut(found)
+        return found
+
+    found = one_round(rounds[0])
+    for number in rounds[1:]:
+        found = found.unionByName(one_round(number))
+    # at most k rows of each query and task reach this; keep k of a query
+    best = found.groupBy("q_row", "query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k).alias("top")
     )
     return best.select("query_id", F.posexplode("top").alias("at", "x")).select(

@@ -199,6 +199,34 @@ def test_quality_gradient():
         assert abs((ends[0] - ends[1]) / (2 * eps) - (g[k][at] if p.shape else g[k])) < 1e-6
 
 
+def test_quality_brute_force(spark):
+    """Attention over passages in plain loops, on the model that the query fits."""
+    d = common.read(spark, SF, "documents")
+    m = quality.train(d, common.read(spark, SF, "labels"))
+    p = {k: np.asarray(v).tolist() for k, v in m.p.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def times(x, w):
+        return [sum(x[i] * w[i][j] for i in range(len(x))) for j in range(len(w[0]))]
+
+    def brute(text):
+        hidden, weight = [], []
+        for row in quality.encode((text or "").encode()).tolist():
+            x = [(v - a) / b for v, a, b in zip(row, m.mean.tolist(), m.scale.tolist())]
+            h = [math.tanh(v + b) for v, b in zip(times(x, p["W"]), p["b"])]
+            gate = [math.tanh(t) * sig(u) for t, u in zip(times(h, p["V"]), times(h, p["U"]))]
+            hidden.append(h)
+            weight.append(math.exp(sum(g * w for g, w in zip(gate, p["w"]))))
+        z = [sum(a * h[k] for a, h in zip(weight, hidden)) / sum(weight) for k in range(len(hidden[0]))]
+        return sig(sum(a * b for a, b in zip(z, p["c"])) + p["d"])
+
+    text = {r.doc_id: r.text for r in d.collect()}
+    got = {r.doc_id: r for r in quality.score(d, m).collect()}
+    for i in sorted(text)[:60]:
+        assert abs(got[i].score - brute(text[i])) < 1e-5
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.5)
+
+
 def test_quality_no_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(odd(spark), quality.train(odd(spark), lab)).count() == 12
@@ -295,6 +323,23 @@ def test_line_dedup(spark):
     assert line_dedup.clean(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_line_dedup_of_a_large_host(spark, monkeypatch, bound):
+    """One host with most pages, some small ones and some without boilerplate; with and without broadcasts of all lists."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "HOT", 1 / 10)
+    long = "".join(f"<p>line {i}</p>" for i in range(20_000))
+    rows = [(i, "http://big.org/x", f"<p>menu</p><p>foot</p><p>own {i}</p>") for i in range(200)]
+    rows += [(300 + i, f"http://s{i % 5}.net/x", f"<p>nav {i % 5}</p><p>text {i}</p>") for i in range(30)]
+    rows += [(400 + i, f"http://none{i}.net/x", "<p>menu</p>") for i in range(10)] + [(500, "http://big.org/x", long)]
+    got = {r.page_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.clean(pages(spark, rows)).collect()}
+    assert len(got) == 241
+    assert all(got[i] == (3, 2, f"own {i}") for i in range(200))
+    assert all(got[300 + i] == (2, 1, f"text {i}") for i in range(30))
+    assert all(got[400 + i] == (1, 0, "menu") for i in range(10))
+    assert got[500][:2] == (20_000, 0)
+
+
 # --- 6 token counts ---
 
 def rolled(r):
@@ -339,6 +384,44 @@ def test_token_query_counts_all(spark):
     assert got == brute_tokens(common.read(spark, SF, "documents").collect())
 
 
+def test_token_rollup_empty(spark):
+    r = token_rollup.fresh(spark)
+    none = docs(spark, [])
+    assert token_rollup.counted(none).count() == 0 and token_rollup.delta(none, none).count() == 0
+    assert r.commit("none", token_rollup.counted(none)) and not r.commit("none", token_rollup.counted(odd(spark)))
+    assert r.totals().count() == 0
+    r.compact()
+    assert r.totals().count() == 0 and r.committed("none")
+    r.drop()
+
+
+def test_token_rollup_of_two_writers(spark):
+    """A writer that finds the batch only when it renames loses, and leaves nothing."""
+    r, s = token_rollup.fresh(spark), None
+    s = token_rollup.Rollup(spark, r.folder)
+    assert r.commit("a", token_rollup.counted(odd(spark)))
+    want = rolled(r)
+    s.committed = lambda _: False  # it looked before the other was done
+    there, s._fs = s._fs, Unseen(s._fs, "batch=a")
+    assert not s.commit("a", token_rollup.counted(odd(spark)))
+    s._fs = there
+    assert rolled(r) == want and [p.getPath().getName() for p in there.listStatus(r._at("batch=a")) if "draft" in p.getPath().getName()] == []
+
+
+class Unseen:
+    """A file system whose ``exists`` doesn't see a name the first time."""
+
+    def __init__(self, fs, name):
+        self.fs, self.name, self.asked = fs, name, 0
+
+    def exists(self, path):
+        self.asked += path.getName() == self.name
+        return self.fs.exists(path) and not (path.getName() == self.name and self.asked == 1)
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+
 # --- 7 language ID ---
 
 def test_language_id(spark):
@@ -369,6 +452,93 @@ def test_language_id_odd(spark):
     assert language_id.keep_identified(odd(spark)).columns == odd(spark).columns
 
 
+def brute_language(rows, model):
+    """Fusion as the module's text states it, in plain loops: log likelihood, declaration, host prior."""
+    names = model.names
+    n = len(names)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    ll = [model.evidence(r["text"].encode() if r["text"] is not None else None) for r in rows]
+    post = [softmax(x) for x in ll]
+    letters = [r["text"] is not None and any(c.isalpha() for c in r["text"]) for r in rows]
+    text_lang = [names[p.index(max(p))] if ok else "und" for p, ok in zip(post, letters)]
+    right, heard = Counter(), Counter()
+    for r, t in zip(rows, text_lang):
+        if r["declared"] in names[:-1] and t != "und":
+            heard[t] += 1
+            right[t] += r["declared"] == t
+    rate = {x: (right[x] + 1) / (heard[x] + 2) if heard[x] else 0.5 for x in names}
+    host, suffix, everything = defaultdict(lambda: [0.0] * n), defaultdict(lambda: [0.0] * n), [0.0] * n
+    for r, p, ok in zip(rows, post, letters):
+        if ok:
+            for t in (host[r["host"], r["suffix"]], suffix[r["suffix"]], everything):
+                for i in range(n):
+                    t[i] += p[i]
+    total = sum(everything) or 1.0
+    base = [(x + 1) / (total + n) for x in everything]
+    smooth = lambda t, parent, weight: [(t[i] + weight * parent[i]) / (sum(t) + weight) for i in range(n)]
+    out = []
+    for r, x, ok in zip(rows, ll, letters):
+        prior = smooth(host[r["host"], r["suffix"]], smooth(suffix[r["suffix"]], base, language_id.SUFFIX_WEIGHT), language_id.HOST_WEIGHT)
+        score = [a + math.log(b) for a, b in zip(x, prior)]
+        if r["declared"] in names[:-1]:
+            for i, name in enumerate(names[:-1]):
+                p = rate[name] if name == r["declared"] else max((1 - rate[name]) / max(1, n - 2), 1e-6)
+                score[i] += math.log(p)
+            score[-1] += math.log(1 / max(1, n - 1))
+        p = softmax(score)
+        best = names[p.index(max(p))]
+        lost = best == "und" or max(p) < language_id.REJECT_BELOW
+        other = r["declared"] is not None and r["declared"] not in names
+        out.append((r["k"], None if not ok or (lost and not other) else r["declared"] if lost else best, round(max(p), 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_language_brute_force(spark, monkeypatch, bound):
+    """Counts of trigrams, fusion and the hierarchy of priors; one host has most rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "HOT", 1 / 10)
+    d = common.read(spark, SF, "documents").select("doc_id", "text", "lang")
+    host = F.when(F.col("doc_id") % 3 > 0, "big.de").when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("h"), (F.col("doc_id") % 13).cast("string")))
+    said = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 17 == 0, "xx").when(F.col("doc_id") % 19 == 0, "de").otherwise(F.col("lang"))
+    text = F.when(F.col("doc_id") % 23 == 0, F.lit("12 34")).when(F.col("doc_id") % 29 == 0, F.lit("\u4e00\u4e01 \u5200" * 90)).otherwise(F.col("text"))
+    rows = d.select(F.col("doc_id").alias("k"), said.alias("declared"), host.alias("host"), F.when(F.col("doc_id") % 3 > 0, "de").otherwise("").alias("suffix"), text.alias("text"))
+    model = language_id.fit(rows)
+    counts = defaultdict(lambda: np.zeros(language_id.BUCKETS))
+    seen = [r.asDict() for r in rows.collect()]
+    for r in seen:
+        if r["declared"] in model.names and r["text"] is not None:
+            counts[r["declared"]] += language_id.trigrams(r["text"].encode())
+    for i, name in enumerate(model.names[:-1]):
+        c = counts[name] + 0.5
+        assert np.allclose(model.log_p[i], np.log(c / c.sum()))
+    got = sorted(((r.k, r.lang, round(r.probability, 6)) for r in language_id.identify(rows, ["k"]).collect()), key=repr)
+    want = brute_language(seen, model)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    assert {x[1] for x in want} > {None, "de", "en"}
+
+
+def test_language_without_a_model(spark):
+    """A declared language with too few rows for a model is kept; junk without declaration is not."""
+    rows = [(i, "une phrase en français, rare ici", "fr", "a") for i in range(3)] + [(9, "no declaration", None, "a"), (10, "12 !", "fr", "a")]
+    got = {r.doc_id: (r.lang, r.rejected) for r in language_id.identify(language_id.of_documents(docs(spark, rows)), ["doc_id"]).collect()}
+    assert got == {0: ("fr", False), 1: ("fr", False), 2: ("fr", False), 9: (None, True), 10: (None, True)}
+
+
+def test_language_of_odd_pages(spark):
+    long = "<html lang=en>" + "the word of the day and so on " * 20_000
+    rows = [(1, None, None), (2, "", ""), (3, "http://a.de/x", "<html lang='de'><p>Das ist ein Text</p>"), (3, "http://a.de/x", "<html lang='de'><p>Das ist ein Text</p>"), (4, "x", "<p>12</p>"), (5, "http://b.org", long), (None, "http://b.org", "<p>text</p>")]
+    got = language_id.identify(language_id.of_pages(pages(spark, rows)), ["page_id"])
+    out = {r.page_id: (r.lang, r.declared) for r in got.collect()}
+    assert got.count() == 7 and out[1] == out[2] == out[4] == (None, None) and out[3] == ("de", "de") and out[5] == ("en", "en")
+    assert language_id.identify(language_id.of_pages(pages(spark, [])), ["page_id"]).count() == 0
+
+
 def test_language_of_pages(spark):
     got = queries.language_id_pages(spark, SF).collect()
     assert np.mean([r.lang == r.declared for r in got if r.declared]) > 0.8
@@ -703,3 +873,24 @@ def test_sharding_odd(spark):
     kept = sharding.shard(odd(spark), keep=True)
     assert kept.count() == 12 and kept.columns == [c for c in odd(spark).columns if c != "shard"] + ["shard", "slot", "cell"]
     check_shards(sharding.shard(docs(spark, [(7, "same", "en", "a")] * 100)).collect(), 100)
+
+
+def test_sharding_writes_shards(spark, monkeypatch, tmp_path):
+    """A file lies in one shard and one run of slots, and holds few cells, sources and languages."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(sharding, "FILE_BYTES", 40_000)
+    d = common.read(spark, SF, "documents")
+    sharding.shard(d, keep=True).write.parquet(str(tmp_path / "shards"))
+    d.repartition(8).write.parquet(str(tmp_path / "any"))
+    files = [t for f in (tmp_path / "shards").glob("*.parquet") if len(t := pq.read_table(f).to_pandas())]
+    assert len(files) > 8 and sum(map(len, files)) == d.count()
+    for t in files:
+        assert t["shard"].nunique() == 1 and t["slot"].tolist() == list(range(t["slot"].iloc[0], t["slot"].iloc[0] + len(t)))
+        assert t["cell"].is_monotonic_increasing
+    runs = sorted((t["cell"].min(), t["cell"].max()) for t in files)
+    assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+    want = "src1"
+    skipped = [not t["source"].min() <= want <= t["source"].max() for t in files]
+    other = [pq.read_table(f).to_pandas()["source"] for f in (tmp_path / "any").glob("*.parquet")]
+    assert np.mean(skipped) > 0.5 > 0.2 >= np.mean([not x.min() <= want <= x.max() for x in other if len(x)])
