@@ -33,18 +33,20 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 HOT = 1 / 500
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, copies: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], fact_key: str | list[str], copies: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one fact for each key, whatever share of the rows a key has.
 
     ``copies`` of ``facts`` is how many of the ``total`` rows have the key. Facts of
     hot keys, fewer than 1 / HOT by arithmetic, are broadcast, so that their rows
     stay where they are; the others meet by shuffle.
     """
+    keys, of = ([key], [fact_key]) if isinstance(key, str) else (key, fact_key)
     hot = F.col(copies) > F.lit(total * HOT)
     few = F.broadcast(facts.filter(hot))
-    there = rows.join(few, F.col(key) == F.col(fact_key))
-    rest = rows.join(few.select(F.col(fact_key).alias("_hot")), F.col(key) == F.col("_hot"), "left_anti")
-    return there.union(rest.join(facts.filter(~hot), F.col(key) == F.col(fact_key)))
+    there = rows.join(few, [F.col(a) == F.col(b) for a, b in zip(keys, of, strict=True)])
+    named = few.select(*[F.col(b).alias(f"_hot{n}") for n, b in enumerate(of)])
+    rest = rows.join(named, [F.col(a) == F.col(f"_hot{n}") for n, a in enumerate(keys)], "left_anti")
+    return there.union(rest.join(facts.filter(~hot), [F.col(a) == F.col(b) for a, b in zip(keys, of, strict=True)]))
 
 
 def row_key(text: Column) -> Column:

@@ -68,31 +68,41 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
 
 
 def substring_sql() -> str:
-    k = substring_dedup.UNIT_WORDS
     return rf"""
 WITH p AS (
   SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(\n|[.!?][ \t])', '\1' || chr(30), 'g'),
            '([ \t])(\p{{Lu}})', '\1' || chr(30) || '\2', 'g'), chr(30)) AS pieces
   FROM documents WHERE text IS NOT NULL),
-f AS (
-  SELECT doc_id, list_reduce(list_transform(pieces, lambda x: {{'u': []::VARCHAR[], 'c': x}}),
-    lambda a, b: CASE WHEN len(regexp_extract_all(a.c, '{WORD}')) >= {k}
-      THEN {{'u': list_append(a.u, a.c), 'c': b.c}} ELSE {{'u': a.u, 'c': a.c || b.c}} END) AS r FROM p),
-o AS (
-  SELECT doc_id, unnest(list_append(r.u, r.c)) AS piece, generate_subscripts(list_append(r.u, r.c), 1) AS k FROM f),
+o AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM p),
+c AS (
+  SELECT doc_id, k, length(piece) AS len, regexp_extract_all(translate(piece, {LOWER}), '{WORD}') AS w,
+         (sum(length(piece)) OVER e)::BIGINT AS stop, (sum(len(regexp_extract_all(piece, '{WORD}'))) OVER e)::BIGINT AS last,
+         coalesce(sum((suffix(piece, chr(10)))::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  FROM o WINDOW e AS (PARTITION BY doc_id ORDER BY k)),
+l AS (
+  SELECT doc_id, line, min(stop - len) AS start, max(stop) AS stop, min(last - len(w)) AS first, max(last) AS last,
+         count(*) FILTER (len(w) > 0) AS pieces, string_agg(array_to_string(w, ' '), ' ' ORDER BY k) FILTER (len(w) > 0) AS norm
+  FROM c GROUP BY doc_id, line),
 u AS (
-  SELECT doc_id, k - 1 AS unit, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS stop, length(piece) AS len,
-         regexp_extract_all(translate(piece, {LOWER}), '{WORD}') AS w FROM o
-  QUALIFY len(w) >= {k}),
-v AS (SELECT doc_id, unit, stop - len AS start, stop, len(w) AS n_words, array_to_string(w, ' ') AS norm FROM u),
+  SELECT doc_id, start, stop, first, last, last - first >= {substring_dedup.LINE_WORDS} AS line, norm FROM l WHERE pieces > 0
+  UNION ALL
+  SELECT c.doc_id, c.stop - len, c.stop, c.last - len(w), c.last, false, array_to_string(w, ' ')
+  FROM c JOIN l ON c.doc_id = l.doc_id AND c.line = l.line WHERE l.pieces > 1 AND len(w) > 0),
 a AS (
   SELECT *, first_value(doc_id) OVER e AS kept, row_number() OVER e AS nth
-  FROM v WINDOW e AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit)),
-r AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM a WHERE nth > 1)
-SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS stop, sum(n_words)::BIGINT AS n_words,
-       arg_min(kept, n_words * -1000000 + unit) AS kept_doc_id
-FROM r GROUP BY doc_id, run HAVING sum(n_words) >= {substring_dedup.MIN_WORDS}"""
+  FROM u WINDOW e AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, first, last)),
+n AS (
+  SELECT *, coalesce(max(last) OVER (PARTITION BY doc_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < first, true) AS new
+  FROM a WHERE nth > 1),
+r AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM n),
+g AS (
+  SELECT doc_id, run, min(start) AS start, max(stop) AS stop, max(last) - min(first) AS n_words,
+         arg_min(kept, {{'n': first - last, 'f': first, 'l': last}}) AS kept
+  FROM r GROUP BY doc_id, run)
+SELECT doc_id, start::INT AS start, stop::INT AS stop, n_words::BIGINT AS n_words, kept AS kept_doc_id FROM g WHERE n_words >= {substring_dedup.MIN_WORDS}
+UNION ALL
+SELECT r.doc_id, r.start::INT, r.stop::INT, (last - first)::BIGINT, r.kept
+FROM r JOIN g ON r.doc_id = g.doc_id AND r.run = g.run WHERE line AND n_words < {substring_dedup.MIN_WORDS}"""
 
 
 def line_sql() -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, language_id, line_dedup, mixing, passage_dedup, quality, sharding, simhash, substring_dedup, token_rollup, topk
+from . import common, decontam, language_id, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_rollup, topk
 from .common import read
 
 
@@ -32,12 +32,6 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "start", "stop", "n_words", "kept_doc_id")
 
 
-def substring_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4 with units that overlap; op4 itself is held to its SQL, which cuts texts greedily."""
-    spans = passage_dedup.repeats(read(spark, sf_dir, "documents"))
-    return spans.select("doc_id", "start", "stop", "n_words", "kept_doc_id")
-
-
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(read(spark, sf_dir, "pages"))
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -93,6 +87,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mixing, op2_decontamination, op3_quality, op4_substring_dedup, op5_line_dedup, op6_token_counts,
-        op7_language_id, op8_top_k, op9_simhash, op10_sharding, language_id_pages, substring_dedup_whole,
+        op7_language_id, op8_top_k, op9_simhash, op10_sharding, language_id_pages,
     )
     return {f.__name__: f for f in found}

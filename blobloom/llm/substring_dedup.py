@@ -1,12 +1,13 @@
-"""Substring dedup by hashing of lines and the sentences within them.
-
-Units end at line ends, after a sentence mark with white space, and before a
-capital after white space (a passage pasted into a line starts with one), once
-they have ``UNIT_WORDS`` words; so short lines belong to what follows them, and
-units of a repeated passage fall into step within a sentence or two. A unit is normalised (ASCII lower case, white space collapsed) and hashed to 128 bits;
-digests are grouped globally by a combining aggregation; the earliest
-occurrence, by document id and place, stays. Runs of neighbouring repeated units
-of ``MIN_WORDS`` words or more are removed; shorter ones are idiom and are left
+"""Substring dedup by hashing of lines and of the sentences within them.
+
+A unit is a line as it is. A line is also cut after sentence marks with white
+space and before capitals after white space (a passage pasted into a line starts
+with one), and each piece is a unit too; nothing is fused with what stands before
+or after it. A unit is normalised (ASCII lower case, white space collapsed) and
+hashed to 128 bits; digests are grouped globally by a combining aggregation; the
+earliest occurrence, by document id and place, stays. Later occurrences of lines
+of ``LINE_WORDS`` words or more are removed, and so are runs of neighbouring
+repeated units of ``MIN_WORDS`` words or more; shorter ones are idiom and are left
 alone. Removed spans keep their offsets in the original text.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 import xxhash
@@ -22,82 +24,109 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_WORDS = 25
-UNIT_WORDS = 5
+LINE_WORDS, MIN_WORDS = 5, 25
 BOUNDARY = regex.compile(r"(?<=\n)|(?<=[.!?][ \t])|(?<=[ \t])(?=\p{Lu})")
-#: Rows of a batch that a Python worker sends back at once.
+#: Units of a batch that a Python worker sends back at once.
 BATCH = 50_000
-UNITS = "doc_id bigint, text_key bigint, unit int, start int, stop int, n_words int, digest binary"
-
-
-def split_units(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, stop, words) of the units of a text, in characters; a tail of fewer than UNIT_WORDS words is none."""
-    start = at = 0
-    found: list[bytes] = []
-    for m in BOUNDARY.finditer(text):
-        found += text[at : m.start()].encode().lower().split()
-        at = m.start()
-        if len(found) >= UNIT_WORDS:
-            yield start, at, found
-            start, found = at, []
-    found += text[at:].encode().lower().split()
-    if len(found) >= UNIT_WORDS:
-        yield start, len(text), found
+#: span and place hold two numbers each, the first in the upper half: characters, with the sign set for whole lines; words.
+UNITS = "doc_id bigint, text_key bigint, d0 array<bigint>, d1 array<bigint>, span array<bigint>, place array<bigint>"
+LINE = -(1 << 63)
+
+
+def split_units(text: str) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
+    """(start, stop) in characters, (first, last) in words, whole line or not, and normalised text of the units of a text."""
+    cuts = [0, *(c for m in BOUNDARY.finditer(text) if 0 < (c := m.start()) < len(text)), len(text)]
+    begin = n = 0
+    pieces: list[tuple[int, int, list[bytes]]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        w = text[a:b].encode().lower().split()
+        if w:
+            pieces.append((a, b, w))
+        if b == len(text) or text[b - 1] == "\n":
+            if len(pieces) > 1:
+                at = n
+                for x, y, p in pieces:
+                    yield x, y, at, at + len(p), False, b" ".join(p)
+                    at += len(p)
+            if pieces:
+                whole = [v for *_, p in pieces for v in p]
+                yield begin, b, n, n + len(whole), True, b" ".join(whole)
+                n += len(whole)
+            begin, pieces = b, []
 
 
 def _units(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols: list[list] = [[] for _ in range(7)]
+    rows: list[tuple] = []
+    n = 0
     for g in it:
         for doc_id, key, text in zip(g["doc_id"], g["text_key"], g["text"], strict=True):
-            for n, (start, stop, w) in enumerate(split_units(text)):
-                row = (doc_id, key, n, start, stop, len(w), xxhash.xxh3_128_digest(b" ".join(w)))
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            if len(cols[0]) > BATCH:
-                yield _frame(cols)
-                cols = [[] for _ in range(7)]
-    if cols[0]:
-        yield _frame(cols)
+            units = list(split_units(text))
+            if not units:
+                continue
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(u[5]) for u in units]), ">i8").astype(np.int64)
+            start, stop, first, last, line = np.array([u[:5] for u in units], np.int64).T
+            rows.append((doc_id, key, digests[::2], digests[1::2], (start << 32 | stop) + line * LINE, first << 32 | last))
+            n += len(units)
+            if n > BATCH:
+                yield _frame(rows)
+                rows, n = [], 0
+    if rows:
+        yield _frame(rows)
 
 
-def _frame(cols: list[list]) -> pd.DataFrame:
-    names = [c.split()[0] for c in UNITS.split(", ")]
-    out = pd.DataFrame(dict(zip(names, cols, strict=True)))
-    out["doc_id"] = pd.array(cols[0], dtype="Int64")
-    return out
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")])
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, text_key, start, stop, n_words, kept_doc_id): spans to remove from texts of ``docs``.
 
     ``kept_doc_id`` holds the earliest occurrence of the span's longest unit.
-    Null texts have no units; a null doc_id ranks last; repeated rows (one id, one
-    text) are one document; repeats within a document count as well.
+    Null and empty texts have no units; a null doc_id ranks last; repeated rows (one
+    id, one text) are one document; repeats within a document count as well; of
+    equal digests in one document the first stays; texts are used whole, however
+    long; other columns are ignored; no rows give no spans.
     """
     rows = docs.filter(docs["text"].isNotNull()).select(
         docs["doc_id"].alias("doc_id"), common.row_key(docs["text"]).alias("text_key"), docs["text"].alias("text")
     )
-    # nullable ids would become floats in pandas: they travel as the smallest long
-    none = F.lit(-(1 << 63))
+    # nullable ids would become floats in pandas: they travel as the largest long, which ranks last
+    none = F.lit((1 << 63) - 1)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", none))
-    units = common.cut(rows.mapInPandas(_units, UNITS).withColumn("late", F.col("doc_id") == none))
-    place = F.struct("late", "doc_id", "text_key", "unit")
-    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter("first <> last").select(F.col("digest").alias("f_digest"), "first")
-    again = units.join(first, F.col("digest") == F.col("f_digest")).filter(place != F.col("first"))
+    packed = common.cut(rows.mapInPandas(_units, UNITS))
+    units = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("d0", "d1", "span", "place")).alias("u")).select("doc_id", "text_key", "u.*")
+    at = F.struct("doc_id", "text_key", "place")
+    mark = F.xxhash64("doc_id", "text_key", "place")
+    first = units.groupBy(F.col("d0").alias("f0"), F.col("d1").alias("f1")).agg(
+        F.min(at).alias("first"), F.min(mark).alias("low"), F.max(mark).alias("high"), F.count(F.lit(1)).alias("copies")
+    )
+    first = common.cut(first.filter("low <> high").select("f0", "f1", "first", "copies"))
+    total = packed.agg(F.sum(F.size("d0"))).first()[0] or 0
+    again = common.join_hot(units, first, ["d0", "d1"], ["f0", "f1"], "copies", total).filter(at != F.col("first"))
+    begin, end = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    again = again.select("doc_id", "text_key", "span", begin.alias("begin"), end.alias("end"), F.col("first.doc_id").alias("kept"))
+    again = again.dropDuplicates(["doc_id", "text_key", "begin", "end"])
+    chars = F.col("span").bitwiseAND(F.lit((1 << 63) - 1))
     again = again.select(
-        "doc_id", "text_key", "unit", "start", "stop", "n_words", F.col("first.doc_id").alias("kept")
-    ).dropDuplicates(["doc_id", "text_key", "unit"])
-    doc = Window.partitionBy("doc_id", "text_key").orderBy("unit")
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(doc))
-    spans = runs.groupBy("doc_id", "text_key", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
-        F.min(F.struct((-F.col("n_words")).alias("n"), F.col("unit"), F.col("kept"))).alias("longest"),
+        "doc_id", "text_key", "begin", "end", ((F.col("span") < 0) & (F.col("end") - F.col("begin") >= line_words)).alias("line"), "kept",
+        F.shiftright(chars, 32).cast("int").alias("start"), chars.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("stop"),
+    )
+    doc = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
+    before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("new", F.when(before >= F.col("begin"), 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
+    unit = F.struct((F.col("begin") - F.col("end")).alias("n"), "begin", "end", "start", "stop", "kept")
+    runs = runs.groupBy("doc_id", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("begin")).alias("n_words"),
+        F.min(unit).alias("longest"), F.collect_list(F.when(F.col("line"), unit)).alias("lines"),
     )
+    whole = F.struct("start", "stop", "n_words", F.col("longest.kept").alias("kept"))
+    of_line = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), (-x["n"]).alias("n_words"), x["kept"].alias("kept"))
+    spans = F.when(F.col("n_words") >= min_words, F.array(whole)).otherwise(F.transform("lines", of_line))
+    spans = runs.select("doc_id", "text_key", F.explode(spans).alias("s"))
     real = lambda c: F.when(F.col(c) != none, F.col(c))
-    return spans.filter(F.col("n_words") >= min_words).select(
-        real("doc_id").alias("doc_id"), "text_key", "start", "stop", F.col("n_words").cast("long").alias("n_words"),
-        F.when(F.col("longest.kept") != none, F.col("longest.kept")).alias("kept_doc_id"),
+    return spans.select(
+        real("doc_id").alias("doc_id"), "text_key", "s.start", "s.stop", F.col("s.n_words").cast("long").alias("n_words"),
+        real("s.kept").alias("kept_doc_id"),
     )
 
 

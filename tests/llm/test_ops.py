@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from blobloom.llm import common, decontam, language_id, line_dedup, mixing, oracles, passage_dedup, quality, queries, sharding, simhash, substring_dedup, token_rollup, topk
+from blobloom.llm import common, decontam, language_id, line_dedup, mixing, oracles, quality, queries, sharding, simhash, substring_dedup, token_rollup, topk
 
 from ..compare import same
 
@@ -244,39 +244,20 @@ def test_substring_removal(spark):
     rows = [(1, f"Alpha beta gamma.\n{passage}\nend one"), (2, f"start two and {passage.strip()} tail"), (3, "Alpha beta gamma.\nclean"), (4, None), (5, "")]
     d = docs(spark, rows)
     spans = substring_dedup.repeats(d)
-    got = {(r.doc_id, r.kept_doc_id) for r in spans.collect()}
     # what repeats within document 1 is shorter than MIN_WORDS
-    assert got == {(2, 1)}
-    for r in spans.collect():
-        text = dict(rows)[r.doc_id]
-        assert "passage" in text[r.start : r.stop] or "sentence" in text[r.start : r.stop]
+    assert {(r.doc_id, r.kept_doc_id) for r in spans.collect()} == {(2, 1)}
     cleaned = {r.doc_id: r.text for r in substring_dedup.remove(d, spans).collect()}
     assert cleaned[3] == rows[2][1] and cleaned[4] is None and cleaned[5] == ""
-    assert cleaned[2].startswith("start two and ") and "second sentence" not in cleaned[2] and cleaned[2].endswith("tail")
+    assert cleaned[2] == "start two and tail"
     assert substring_dedup.remove(d, spans).columns == d.columns
 
 
-def test_substring_odd(spark):
-    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in substring_dedup.repeats(odd(spark)).collect()}
-    text = " ".join(f"w{i % 977}" for i in range(30_000))
-    assert got == {(5, 0, len(text), 4)}
-    assert substring_dedup.repeats(docs(spark, [])).count() == 0
-    pair = docs(spark, [(None, "word " * 40), (3, "word " * 40)])
-    assert [(r.doc_id, r.kept_doc_id) for r in substring_dedup.repeats(pair).collect()] == [(None, 3)]
-
-
-def test_substring_units_start_anywhere(spark):
-    """Copies are found whatever stands before them, where each word is a boundary too."""
-    shout = " ".join(f"W{i}" for i in range(40))
-    mixed = "It ends. So it goes on with a few more words here. No. Then There Is a Title and a sentence that is long enough. Well then, this is the very last one of them. "
-    rows = [(1, f"{shout}\nand"), (2, f"A {shout}"), (3, f"A B C {shout}"), (4, f"see {mixed}"), (5, f"Oh. {mixed}"), (6, f"One two. Oh no. {mixed}")]
-    got = defaultdict(list)
-    for r in passage_dedup.repeats(docs(spark, rows)).collect():
-        got[r.doc_id].append((dict(rows)[r.doc_id][r.start : r.stop].strip(), r.kept_doc_id))
-    assert dict(got) == {2: [(shout, 1)], 3: [(shout, 1)], 5: [(mixed.strip(), 4)], 6: [(mixed.strip(), 4)]}
-    # a passage doesn't cut its own first occurrence
-    loop = docs(spark, [(1, "A " * 60)])
-    assert [r.text.split() for r in substring_dedup.remove(loop, passage_dedup.repeats(loop)).collect()] == [["A"] * 5]
+def test_substring_lines_under_headings(spark):
+    """A repeated line is found whatever stands before and after it, however short that is."""
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"Ab cd\n{line}\n\nend"), (2, f"Xy\n{line}\nother end"), (3, f"{line}"), (4, f"A B C {line.upper()}")]
+    got = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.stop], r.n_words, r.kept_doc_id) for r in substring_dedup.repeats(docs(spark, rows)).collect()}
+    assert got == {2: (line + "\n", 60, 1), 3: (line, 60, 1)}
 
 
 def test_substring_short_lines(spark):
@@ -285,19 +266,27 @@ def test_substring_short_lines(spark):
     rows = [(i, f"text number {i}\n{line}\nown words {i} {i} {i}\nof four words only\n") for i in range(4)]
     rows.append((9, f"a line that goes on. {line} and more"))
     d = docs(spark, rows)
-    spans = passage_dedup.repeats(d)
+    spans = substring_dedup.repeats(d)
     got = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.stop], r.n_words, r.kept_doc_id) for r in spans.collect()}
     assert got == {i: (f"{line}\n", 6, 0) for i in (1, 2, 3)} and spans.count() == 3
     assert {r.doc_id: r.text for r in substring_dedup.remove(d, spans).collect()} == {i: t if i in (0, 9) else t.replace(f"{line}\n", "") for i, t in rows}
 
 
-def test_passages_odd(spark):
-    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in passage_dedup.repeats(odd(spark)).collect()}
+@pytest.mark.parametrize("hot", [1 / 500, 1 / 4])
+def test_substring_hot_line(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = [(i, f"one own line number {i} here\nthis line is in every one of them\n") for i in range(300)]
+    got = substring_dedup.repeats(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.kept_doc_id) for r in got) == [(i, 8, 0) for i in range(1, 300)]
+
+
+def test_substring_odd(spark):
+    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in substring_dedup.repeats(odd(spark)).collect()}
     text = " ".join(f"w{i % 977}" for i in range(30_000))
     assert got == {(5, 0, len(text), 4)}
-    assert passage_dedup.repeats(docs(spark, [])).count() == 0
+    assert substring_dedup.repeats(docs(spark, [])).count() == 0
     pair = docs(spark, [(None, "word " * 40), (3, "word " * 40)])
-    assert [(r.doc_id, r.kept_doc_id) for r in passage_dedup.repeats(pair).collect()] == [(None, 3)]
+    assert [(r.doc_id, r.kept_doc_id) for r in substring_dedup.repeats(pair).collect()] == [(None, 3)]
 
 
 # --- 5 line dedup ---
