@@ -23,3 +23,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder; its rows, partitions and their order are fixed from there on."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of input for each core up to which a table is dealt out anew before costly work.
+DEALT_BYTES = 8 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, of few row groups, dealt out by ``keys`` so that all cores have work; a table over the bound stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    total, files = 0, df.inputFiles()
+    if len(files) > 4 * cores:
+        return df
+    for f in files:
+        total += path(f).getFileSystem(conf).getFileStatus(path(f)).getLen()
+    return df.repartition(cores, *keys) if total <= cores * DEALT_BYTES else df

@@ -1,8 +1,9 @@
-"""First-order training over streams of byte records.
+"""Training over streams of byte records.
 
-``live`` keeps counts in Spark's state store; ``into`` folds each micro-batch
-into a folder of cells, once per batch number, so that a restarted stream
-changes nothing twice.
+``into_state`` trains a codec's model: each micro-batch's blobs go through the
+codec's own transforms and are folded into the state of an alias, with the batch
+number beside it, so that a restarted stream changes nothing twice. ``live`` and
+``into`` count pairs of bytes as they are, in the state store or in a folder.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import bits
-from ..operators import models
+from ..operators import codec, models, sequence
+from ..sources.archive import Archive
 
 
 def pairs(stream: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
@@ -47,6 +49,20 @@ def into(stream: DataFrame, store: CellStore, checkpoint: str, **trigger) -> Str
     return write.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def into_state(stream: DataFrame, archive: Archive, addr: str, algorithm: int | str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts training the state under ``addr`` on ``stream`` (data): each block is a training batch, as in a session's ``train``."""
+    number = codec.resolve(algorithm).number
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        blocks = sequence.chunk(batch.select("data"), min(codec.block_size(algorithm), (1 << 31) - 1))
+        cells = codec.training_cells(blocks.select("data"), algorithm, []).collect()  # one state: at most 65,537 cells
+        if cells:
+            archive.fold_training(addr, number, cells, batch_id)
+
+    write = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return write.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def records(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files under a path; ``files_per_batch`` bounds a micro-batch."""
     reader = spark.readStream.schema(schema)
