@@ -108,6 +108,31 @@ def params_bytes(params: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(F.size(entries).cast("long")), 16, "0"), F.array_join(body, "")))
 
 
-def hex_id(blob_id: Column) -> Column:
-    """64-bit id as 16 lower-case hex digits."""
-    return F.lower(F.lpad(F.hex(blob_id), 16, "0"))
+def params_of_bytes(data: Column) -> Column:
+    """Map of strings that ``params_bytes`` has packed."""
+    h = F.hex(data)
+    number = lambda at: F.conv(F.substring(h, at, F.lit(16)), 16, 10).cast("int")
+    text = lambda at, n: F.decode(F.unhex(F.substring(h, at, n * 2)), "UTF-8")
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+
+    def step(acc: Column, _: Column) -> Column:
+        k_at = acc["at"] + 16
+        v_at = k_at + number(acc["at"]) * 2 + 16
+        k_len, v_len = number(acc["at"]), number(v_at - 16)
+        pair = F.struct(text(k_at, k_len).alias("key"), text(v_at, v_len).alias("value"))
+        return F.struct((v_at + v_len * 2).alias("at"), F.array_append(acc["out"], pair).alias("out"))
+
+    n = number(F.lit(1))
+    turns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    done = F.aggregate(turns, F.struct(F.lit(17).alias("at"), empty.alias("out")), step)
+    return F.map_from_entries(done["out"])
+
+
+def lock_name(path: Column, width: int = 512) -> Column:
+    """Name of the lock of a path: its SHA-2 digest of ``width`` bits in hex."""
+    return F.sha2(path.cast("binary"), width)
+
+
+def require(condition: Column, message: str) -> Column:
+    """True, or an error where the condition isn't."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(f"internal error: {message}")).cast("boolean"))

@@ -74,11 +74,6 @@ def normalise(counts: DataFrame, keys: list[str], symbol: str = "next", plus: in
     return v.select(*keys, symbol, "ls", F.coalesce(F.sum("ls").over(before), F.lit(0)).cast("long").alias("bs"))
 
 
-def lookup(symbols: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """(ls, bs) of each symbol in its context: an equi-join on (keys, prev, next)."""
-    return symbols.join(model, [*keys, "prev", "next"])
-
-
 def inverse_lookup(points: DataFrame, model: DataFrame, keys: list[str], symbol: str = "next") -> DataFrame:
     """Symbol of each point (keys, point): the last whose running sum is at most the point.
 
@@ -117,3 +112,50 @@ def paeth_predict(pixels: DataFrame, keys: list[str]) -> DataFrame:
     near = F.when((a <= b) & (a <= c), F.col("up")).when(b <= c, F.col("left")).otherwise(F.col("diag"))
     pred = F.when(F.col("left").isNull(), F.coalesce("up", F.lit(0))).when(F.col("up").isNull(), F.col("left")).otherwise(near)
     return n.withColumn("predicted", pred.cast("int")).drop("left", "up", "diag")
+
+
+def initial(n: int = ALPHABET) -> Column:
+    """The distribution before anything is seen: one each."""
+    return F.array_repeat(F.lit(1).cast("long"), n)
+
+
+def _context(pixels: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """Adds ctx: the left neighbour, else with ``order`` above one the upper one, else null."""
+    left = F.lag("v").over(Window.partitionBy(*keys, "ch", "y").orderBy("x"))
+    if order < 2:
+        return pixels.withColumn("ctx", left)
+    up = F.lag("v").over(Window.partitionBy(*keys, "ch", "x").orderBy("y"))
+    return pixels.withColumns({"_l": left, "_u": up}).withColumn("ctx", F.coalesce("_l", "_u")).drop("_l", "_u")
+
+
+def locality_counts(pixels: DataFrame, keys: list[str], order: int = 2) -> DataFrame:
+    """(ch, prev, next, cnt): how often a value follows its context, by channel, over all images (keys, ch, y, x, v)."""
+    p = _context(pixels, keys, order).filter("ctx is not null")
+    return p.groupBy("ch", F.col("ctx").alias("prev"), F.col("v").alias("next")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def inject(counts: DataFrame) -> DataFrame:
+    """(ch, prev, next, ls, bs): a static model of ``counts`` (ch, prev, next, cnt), at most 65,536 rows a channel."""
+    return normalise(dense(counts, ["ch"], 0), ["ch", "prev"], "next", plus=1)
+
+
+def inject_order0(counts: DataFrame) -> DataFrame:
+    """(ch, next, ls, bs): the same of counts (ch, next, cnt) without context."""
+    full = dense(counts.withColumn("prev", F.lit(0)), ["ch"], 0)
+    return normalise(full, ["ch", "prev"], "next", plus=1).drop("prev")
+
+
+def static_precode(pixels: DataFrame, model: DataFrame, keys: list[str], order: int = 2, residuals: DataFrame | None = None) -> DataFrame:
+    """Adds (ls, bs) to pixels (keys, ch, y, x, v) from an injected model; uniform without context.
+
+    With ``residuals``, an order-0 model, also (r_ls, r_bs) of a column r, the low
+    bytes of deep samples. Models are a row a (channel, context, symbol): broadcast.
+    """
+    m = model.select(F.col("ch").alias("m_ch"), F.col("prev").alias("m_ctx"), F.col("next").alias("m_v"), "ls", "bs")
+    p = _context(pixels, keys, order)
+    p = p.join(F.broadcast(m), (F.col("ch") == F.col("m_ch")) & (F.col("ctx") == F.col("m_ctx")) & (F.col("v") == F.col("m_v")), "left").drop("m_ch", "m_ctx", "m_v")
+    p = p.withColumns({"bs": F.coalesce("bs", F.shiftleft(F.col("v").cast("long"), 16)), "ls": F.coalesce("ls", F.lit(1 << 16).cast("long"))})
+    if residuals is None:
+        return p
+    r = residuals.select(F.col("ch").alias("m_ch"), F.col("next").alias("m_v"), F.col("ls").alias("r_ls"), F.col("bs").alias("r_bs"))
+    return p.join(F.broadcast(r), (F.col("ch") == F.col("m_ch")) & (F.col("r") == F.col("m_v")), "left").drop("m_ch", "m_v")

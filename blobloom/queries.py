@@ -7,14 +7,22 @@ or folding lists stay linear in the text; every block of every text is used.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import InvalidOperation
 from .functions import bits, paths
 from .operators import codec, color, entropy, models, sequence
-from .plans import catalog
+from .plans import catalog, lineage
+from .plans.engine import Engine
+from .sources import jpeg, png
+from .sources.archive import Archive
 
 BLOCK = 256
 #: Pixels in a row of the rasters cut from documents.
@@ -36,7 +44,19 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; small documents are dealt out, as they lie in one row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lineage.dealt(df, "doc_id") if name == "documents" else df
+
+
+@contextmanager
+def an_archive(spark: SparkSession) -> Iterator[Archive]:
+    """A new archive in the shared folder, deleted in the end: what is read from it has to be cut from its lineage before."""
+    a = Archive(spark, f"{lineage.shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    try:
+        yield a
+    finally:
+        a.drop()
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +147,30 @@ WITH f AS ({FILES_SQL}), b AS (SELECT doc_id, seq FROM ({BLOCKS_SQL}))
 SELECT path, count(seq)::BIGINT AS n_blobs FROM f JOIN b USING (doc_id)
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0) GROUP BY path""")
 def delete_file(spark, sf_dir):
-    """Files and their blob counts after those that labels mark have been deleted."""
-    f = files(spark, sf_dir).select("path", "doc_id")
+    """Files and their blob counts in an archive after those that labels mark have been deleted, as it is opened again."""
+    f = files(spark, sf_dir)
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0").select("doc_id")
+    with an_archive(spark) as a:
+        Engine(spark).encode(f.select("path", "content"), a, "uncompressed", block=BLOCK)
+        a.remove_files(f.join(gone, "doc_id", "left_semi").select("path"))
+        left = Archive(spark, a.folder).files
+        return lineage.cut(left.groupBy("path").agg(F.count("blob_id").alias("n_blobs")))
+
+
+@query(f"""
+WITH f AS ({FILES_SQL}), d AS (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0),
+b AS (SELECT doc_id, seq, h FROM ({BLOCKS_SQL}) WHERE doc_id IN (SELECT doc_id FROM d))
+SELECT length, count(*) AS n FROM (
+  SELECT 64 + 8 * octet_length(encode(path)) + 66 + 64 * count(*) AS length FROM f JOIN b USING (doc_id) GROUP BY path
+  UNION ALL SELECT 320 + 8 * (length(h) // 2) FROM b) GROUP BY length""")
+def free_list(spark, sf_dir):
+    """Lengths of the free extents that the same deletes leave."""
+    f = files(spark, sf_dir)
     gone = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0").select("doc_id")
-    left = f.join(gone, "doc_id", "left_anti")
-    return blocks(spark, sf_dir).select("doc_id", "seq").join(left, "doc_id").groupBy("path").agg(F.count("seq").alias("n_blobs"))
+    with an_archive(spark) as a:
+        Engine(spark).encode(f.select("path", "content"), a, "uncompressed", block=BLOCK)
+        a.remove_files(f.join(gone, "doc_id", "left_semi").select("path"))
+        return lineage.cut(a.fragments().groupBy("length").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(f"""
@@ -139,12 +178,76 @@ WITH f AS ({FILES_SQL})
 SELECT path, count(*)::BIGINT AS n_blobs, sum(length(h) // 2)::BIGINT AS size, md5(string_agg(h, '' ORDER BY seq)) AS digest
 FROM f JOIN ({BLOCKS_SQL}) b USING (doc_id) GROUP BY path""")
 def read_file(spark, sf_dir):
-    """Files joined with their blobs in order: file, blob and content again."""
-    f = files(spark, sf_dir).select("path", "doc_id")
-    rows = blocks(spark, sf_dir).join(f, "doc_id")
-    parts = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", F.hex("data").alias("h")))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["h"]), "")
-    return parts.select("path", F.size("p").cast("long").alias("n_blobs"), (F.length(whole) / 2).cast("long").alias("size"), F.md5(whole.cast("binary")).alias("digest"))
+    """Files of an archive decoded: file entry, blobs and content again."""
+    f = files(spark, sf_dir).select("path", "content")
+    engine = Engine(spark)
+    with an_archive(spark) as a:
+        engine.encode(f, a, "uncompressed", block=BLOCK)
+        n = a.files.groupBy("path").agg(F.count("blob_id").alias("n_blobs"))
+        whole = engine.decode_files(a, f.select("path")).join(n, "path")
+        return lineage.cut(whole.select("path", "n_blobs", F.octet_length("content").cast("long").alias("size"), F.md5(F.hex("content").cast("binary")).alias("digest")))
+
+
+@query(f"""
+WITH f AS ({FILES_SQL})
+SELECT 'dir' AS kind, '/' || lang || '/' || source AS entry, count(*)::BIGINT AS n FROM documents GROUP BY ALL
+UNION ALL SELECT 'empty', path, 0 FROM f WHERE content = ''::BLOB
+UNION ALL SELECT 'alias', '/' || lang, count(*) FROM documents GROUP BY lang""")
+def archive_listing(spark, sf_dir):
+    """Directories with their entries, files without blobs and aliases of models, as an archive lists them."""
+    f = files(spark, sf_dir)
+    with an_archive(spark) as a:
+        Engine(spark).encode(f.select("path", "content"), a, "uncompressed")
+        a.create_entries(f.filter(F.octet_length("content") == 0).select("path"))
+        langs = [r["lang"] for r in table(spark, sf_dir, "documents").groupBy("lang").count().collect()]  # a row a language
+        for lang in langs:
+            a.install_mstate(b"", 1, f"/{lang}")
+        opened = Archive(spark, a.folder)
+        dirs = catalog.listing(opened.files.select("path").distinct()).filter("is_leaf").groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+        out = dirs.select(F.lit("dir").alias("kind"), F.col("dir").alias("entry"), "n")
+        none = opened.files.groupBy("path").agg(F.count("blob_id").alias("n")).filter("n = 0")
+        out = out.union(none.select(F.lit("empty"), "path", "n"))
+        under = opened.files.select("path").distinct().withColumn("lang", F.concat(F.lit("/"), paths.parts(F.col("path"))[0]))
+        named = opened.aliases.join(under, F.col("addr") == F.col("lang")).groupBy("addr").agg(F.count(F.lit(1)).alias("n"))
+        return lineage.cut(out.union(named.select(F.lit("alias"), "addr", "n")))
+
+
+@query("""
+SELECT lang, count(*)::BIGINT AS files, count(*)::BIGINT AS batches, true AS refused, true AS freed, 0::BIGINT AS states_left
+FROM documents WHERE text <> '' GROUP BY lang""")
+def archive_models(spark, sf_dir):
+    """A model a language, trained and shared: it can't go while files need it, and goes after them."""
+    d, engine, rows = files(spark, sf_dir).filter(F.octet_length("content") > 0), Engine(spark), []
+    langs = [r["lang"] for r in d.select(paths.parts(F.col("path"))[0].alias("lang")).distinct().collect()]  # a row a language
+    for lang in langs:
+        with an_archive(spark) as a:
+            f = lineage.cut(catalog.under(d, f"/{lang}").select("path", "content"))
+            engine.train(f, a, "/shared", "blocksort")
+            engine.encode(f, a, "blocksort", mstate_addr="/shared")
+            back = engine.decode_files(a, f.select("path")).withColumnRenamed("content", "back")
+            same = f.join(back, "path").filter("content = back").count()
+            batches = a.read_mstate("/shared").first()["batches"]
+            try:
+                engine.rm_mstate(a, "/shared")
+                refused = False
+            except InvalidOperation:
+                refused = True
+            a.remove_tree(f"/{lang}")
+            engine.rm_mstate(a, "/shared")
+            rows.append((lang, same, batches, refused, not a.mstate_exists("/shared"), a.mstates.count()))
+    return spark.createDataFrame(rows, "lang string, files bigint, batches bigint, refused boolean, freed boolean, states_left bigint")
+
+
+@query(f"""
+WITH f AS ({FILES_SQL}),
+n AS (SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN path WHEN 1 THEN path || '/x' WHEN 2 THEN path || 'x' WHEN 3 THEN path || 'y/z' ELSE '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END AS path, doc_id % 5 AS kind FROM f)
+SELECT path FROM n WHERE kind IN (0, 1, 4)""")
+def path_conflicts(spark, sf_dir):
+    """Which new paths can't be created: files that are there, paths below files, and directories."""
+    f = files(spark, sf_dir).select("path", (F.col("doc_id") % 5).alias("k"))
+    new = F.when(F.col("k") == 0, F.col("path")).when(F.col("k") == 1, F.concat("path", F.lit("/x"))).when(F.col("k") == 2, F.concat("path", F.lit("x")))
+    new = new.when(F.col("k") == 3, F.concat("path", F.lit("y/z"))).otherwise(paths.parent(F.col("path")))
+    return catalog.conflicts(f.select("path"), f.select(new.alias("path")))
 
 
 @query("SELECT doc_id, seq, length(h) // 2 AS size, md5(h) AS digest FROM (" + BLOCKS_SQL + ")")
@@ -231,8 +334,15 @@ def fragment_best_fit(spark, sf_dir):
 SELECT coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS payload_bytes, count(*)::BIGINT AS files,
        count(DISTINCT lang)::BIGINT AS models FROM documents""")
 def mem_usage(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("payload_bytes"), F.count(F.lit(1)).alias("files"), F.count_distinct("lang").alias("models"))
+    """Bytes that an archive of all documents takes, its files and its models."""
+    f, engine = files(spark, sf_dir), Engine(spark)
+    with an_archive(spark) as a:
+        engine.encode(f.select("path", "content"), a, "uncompressed")
+        a.create_entries(f.filter(F.octet_length("content") == 0).select("path"))
+        for r in table(spark, sf_dir, "documents").select("lang").distinct().collect():  # a row a language
+            engine.write_mstate(a, f"/model/{r['lang']}", b"")
+        row = (engine.mem_usage(a), a.files.select("path").distinct().count(), a.mstates.count())
+    return spark.createDataFrame([row], "payload_bytes bigint, files bigint, models bigint")
 
 
 @query("SELECT * FROM (VALUES (0, 'uncompressed', 8388608::BIGINT), (1, 'blocksort', 4194304), (2, 'raster', 9223372036854775807)) t(algorithm, name, block_size)")
@@ -272,10 +382,18 @@ def bwt_mtf_round_trip(spark, sf_dir):
     return back.select("doc_id", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
-MTF_LISTS_SQL = f"""
+def mtf_lists_sql(lists: str) -> str:
+    return f"""
 SELECT doc_id, seq, list_reduce(s, lambda a, c: {{'t': list_concat([c.c], list_filter(a.t, lambda x: x <> c.c)), 'o': list_append(a.o, list_position(a.t, c.c) - 1), 'c': c.c}},
   {{'t': range(256)::INT[], 'o': []::INT[], 'c': 0}}).o AS m
-FROM (SELECT doc_id, seq, list_transform(s, lambda x: {{'t': []::INT[], 'o': []::INT[], 'c': x}}) AS s FROM ({LISTS_SQL}))"""
+FROM (SELECT doc_id, seq, list_transform(s, lambda x: {{'t': []::INT[], 'o': []::INT[], 'c': x}}) AS s FROM ({lists}))"""
+
+
+MTF_LISTS_SQL = mtf_lists_sql(LISTS_SQL)
+#: (doc_id, seq, bw_index, m): move-to-front ranks of the BWT of blocks.
+SORTED_SQL = f"""
+SELECT m.doc_id, m.seq, bw_index, m FROM ({mtf_lists_sql(f"SELECT doc_id, seq, list_transform(regexp_extract_all(l, '..'), lambda x: ('0x' || x)::INT) AS s FROM ({BWT_SQL})")}) m
+JOIN (SELECT doc_id, seq, bw_index FROM ({BWT_SQL})) b ON m.doc_id = b.doc_id AND m.seq = b.seq"""
 
 
 @query(f"SELECT doc_id, seq, md5(array_to_string(m, ',')) AS digest FROM ({MTF_LISTS_SQL})")
@@ -539,26 +657,40 @@ def size_strings(spark, sf_dir):
     return t.withColumn("n_bytes", bits.parse_size(F.col("size_text")))
 
 
-@query("SELECT doc_id, text_len, key_hex FROM (SELECT doc_id, octet_length(encode(text))::INT AS text_len, hex(encode('k' || doc_id::VARCHAR)) AS key_hex FROM documents)")
+@query("""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode('key' || doc_id::VARCHAR)), '..'), lambda x, i: lpad(hex(xor(('0x' || x)::INT, [5, 243, 17][(i - 1) % 3 + 1])), 2, '0')), '') AS masked,
+       md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x, i: lpad(hex(xor(('0x' || x)::INT, [107, 48 + doc_id % 10][(i - 1) % 2 + 1]::INT)), 2, '0')), '')) AS masked_text,
+       hex(encode('key' || doc_id::VARCHAR)) AS back
+FROM documents""")
 def token_xor(spark, sf_dir):
-    """XOR with a key and again gives the key and the text back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("t"), F.encode(F.concat(F.lit("k"), F.col("doc_id").cast("string")), "UTF-8").alias("k"))
-    masked = bits.token_xor(F.col("k"), F.lit(b"\x05\xf3\x11"))
-    return d.select("doc_id", F.octet_length("t").alias("text_len"), F.hex(bits.token_xor(masked, F.lit(b"\x05\xf3\x11"))).alias("key_hex"))
+    """A short text under one key, masked and back, and whole texts each under its own key, masked."""
+    d = table(spark, sf_dir, "documents")
+    name = F.encode(F.concat(F.lit("key"), F.col("doc_id").cast("string")), "UTF-8")
+    own = F.encode(F.concat(F.lit("k"), (F.col("doc_id") % 10).cast("string")), "UTF-8")
+    key = F.lit(b"\x05\xf3\x11")
+    masked = bits.token_xor(name, key)
+    return d.select(
+        "doc_id", F.hex(masked).alias("masked"), F.md5(F.hex(bits.token_xor(F.encode("text", "UTF-8"), own)).cast("binary")).alias("masked_text"),
+        F.hex(bits.token_xor(masked, key)).alias("back"),
+    )
 
 
 @query("""
 SELECT doc_id, '0000000000000002' || '0000000000000004' || '6C616E67' || lpad(hex(octet_length(encode(lang))), 16, '0') || hex(encode(lang))
-  || '0000000000000006' || '736F75726365' || lpad(hex(octet_length(encode(source))), 16, '0') || hex(encode(source)) AS packed FROM documents""")
+  || '0000000000000006' || '736F75726365' || lpad(hex(octet_length(encode(source))), 16, '0') || hex(encode(source)) AS packed,
+  source AS source_back, lang AS lang_back, 2 AS n_back FROM documents""")
 def codec_params(spark, sf_dir):
+    """Parameters as bytes and back."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.hex(bits.params_bytes(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))).alias("packed"))
+    d = d.select("doc_id", bits.params_bytes(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")).alias("p"))
+    d = d.withColumn("m", bits.params_of_bytes(F.col("p")))
+    return d.select("doc_id", F.hex("p").alias("packed"), F.col("m")["source"].alias("source_back"), F.col("m")["lang"].alias("lang_back"), F.size("m").alias("n_back"))
 
 
 @query("SELECT DISTINCT '/' || lang || '/' || source AS path, sha256('/' || lang || '/' || source) AS lock_name FROM documents")
 def lock_names(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("path")).distinct()
-    return p.select("path", F.sha2(F.col("path").cast("binary"), 256).alias("lock_name"))
+    return p.select("path", bits.lock_name(F.col("path"), 256).alias("lock_name"))
 
 
 # --- codecs ---
@@ -573,19 +705,149 @@ def encode_decode(spark, sf_dir):
     return back.select("doc_id", "seq", F.octet_length("data").cast("long").alias("o_size"), F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
-@query()
+#: (doc_id, seq, pos, prev, next): neighbours in the transformed blocks; prev is null for the first.
+CONTEXTS_SQL = f"""
+SELECT doc_id, seq, pos, next, lag(next) OVER (PARTITION BY doc_id, seq ORDER BY pos) AS prev
+FROM (SELECT doc_id, seq, unnest(m) AS next, generate_subscripts(m, 1) - 1 AS pos FROM ({SORTED_SQL}))"""
+
+
+@query(f"""
+WITH x AS ({CONTEXTS_SQL}),
+n AS (SELECT doc_id, seq, prev, next, 1 + 32 * count(*) AS cnt FROM x WHERE prev IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, sum(cnt) OVER c + 256 - count(*) OVER c AS total, count(*) OVER c AS k FROM n WINDOW c AS (PARTITION BY doc_id, seq, prev)),
+v AS (SELECT *, 1 + (cnt * 16776960) // total AS v, 1 + 16776960 // total AS v0 FROM t),
+r AS (SELECT *, 16777216 - sum(v) OVER (PARTITION BY doc_id, seq, prev) - (256 - k) * v0 AS r,
+        coalesce(sum(v - v0) OVER (PARTITION BY doc_id, seq, prev ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM v),
+f AS (SELECT doc_id, seq, prev, next, v + r // 256 + (next < r % 256)::INT AS ls, next * v0 + more + next * (r // 256) + least(next, r % 256) AS bs FROM r),
+i AS (
+  SELECT x.doc_id, x.seq, pos, coalesce(ls, 65536)::UBIGINT AS ls, coalesce(bs, x.next * 65536)::UBIGINT AS bs
+  FROM x LEFT JOIN f ON x.doc_id = f.doc_id AND x.seq = f.seq AND x.prev = f.prev AND x.next = f.next),
+q AS (SELECT doc_id, seq, list({{'ls': ls, 'bs': bs}} ORDER BY pos DESC) AS i FROM i GROUP BY ALL),
+e AS (SELECT doc_id, seq, list_reduce(list_transform(i, lambda c: {{'x': c.ls, 'y': c.bs, 'w': []::UBIGINT[]}}),
+  lambda a, c: {{'x': CASE WHEN a.x >= c.x << 39 THEN (((a.x >> 32) // c.x) << 24) + c.y + (a.x >> 32) % c.x ELSE ((a.x // c.x) << 24) + c.y + a.x % c.x END,
+    'y': 0::UBIGINT, 'w': CASE WHEN a.x >= c.x << 39 THEN list_append(a.w, a.x & 4294967295) ELSE a.w END}},
+  {{'x': 2147483648::UBIGINT, 'y': 0::UBIGINT, 'w': []::UBIGINT[]}}) AS r FROM q),
+w AS (SELECT doc_id, seq, list_reverse(list_concat(r.w, [r.x >> 32, r.x & 4294967295])) AS w FROM e),
+z AS (
+  SELECT b.doc_id, b.seq, h, length(h) // 2 AS o_size, 4 * len(w) AS n, array_to_string(list_transform(w, lambda v: lpad(hex(v), 8, '0')), '') AS words,
+         lpad(hex(bw_index), 16, '0') AS place
+  FROM ({BLOCKS_SQL}) b JOIN w ON b.doc_id = w.doc_id AND b.seq = w.seq JOIN ({BWT_SQL}) s ON b.doc_id = s.doc_id AND b.seq = s.seq)
+SELECT doc_id, seq, (n < o_size)::INT AS algorithm, n < o_size AS status, o_size::BIGINT AS o_size, least(n, o_size)::BIGINT AS size,
+       CASE WHEN n < o_size THEN array_to_string(list_transform(range(8), lambda k: substring(place, 15 - 2 * k, 2)), '') ELSE '' END AS header,
+       md5(CASE WHEN n < o_size THEN words ELSE h END) AS digest
+FROM z""")
 def encode(spark, sf_dir):
-    """Coded sizes and the fallback rule; checked by round trip and by fixed vectors in tests."""
-    d = files(spark, sf_dir).select("path", F.col("content").alias("data"))
-    coded = codec.encode(sequence.chunk(d, codec.block_size("blocksort")), "blocksort", ["path", "seq"])
-    return coded.select("path", "seq", "algorithm", "status", "o_size", "size", (F.col("size") + F.octet_length("header") + F.coalesce(F.octet_length("model"), F.lit(0))).alias("total_bytes"))
+    """Blocks under their own models, coded, or as they are where that is not smaller: words, header and sizes."""
+    coded = codec.encode(blocks(spark, sf_dir), "blocksort", ["doc_id", "seq"])
+    return coded.select(
+        "doc_id", "seq", F.col("algorithm").cast("int").alias("algorithm"), "status", "o_size", "size", F.hex("header").alias("header"),
+        F.md5(F.hex("data").cast("binary")).alias("digest"),
+    )
 
 
-@query()
+@query(f"""
+WITH x AS ({CONTEXTS_SQL}), l AS (SELECT doc_id, lang FROM documents)
+SELECT lang, prev::INT AS prev, next::INT AS next, (32 * count(*))::BIGINT AS cnt FROM x JOIN l USING (doc_id) WHERE prev IS NOT NULL GROUP BY ALL
+UNION ALL SELECT lang, -1, -1, count(*) FROM x JOIN l USING (doc_id) WHERE pos = 0 GROUP BY lang""")
 def train_model(spark, sf_dir):
-    """Cells of one model a language, trained on BWT and move-to-front output of whole texts."""
-    d = table(spark, sf_dir, "documents").filter("text <> ''").select("lang", F.encode("text", "UTF-8").alias("data"))
-    return codec.training_cells(d, "blocksort", ["lang"])
+    """Cells of one model a language, trained on the transformed blocks; a block is a batch, and their number is cell (-1, -1)."""
+    d = table(spark, sf_dir, "documents").select("lang", F.encode("text", "UTF-8").alias("data"))
+    return codec.training_cells(sequence.chunk(d, BLOCK).drop("seq"), "blocksort", ["lang"])
+
+
+# --- images ---
+
+@F.pandas_udf("binary")
+def as_png(data: pd.Series) -> pd.Series:
+    """Bytes as the samples of a grey image of WIDTH pixels a row, the last row filled up with zeros."""
+
+    def one(b: bytes) -> bytes:
+        v = np.frombuffer(b + bytes(-len(b) % WIDTH), np.uint8).astype(np.int64).reshape(1, -1, WIDTH)
+        return png.encode(png.Image(WIDTH, v.shape[1], 8, 0, 0, 1, b"", v))
+
+    return pd.Series([one(bytes(b)) for b in data])
+
+
+@F.pandas_udf("binary")
+def png_bytes(data: pd.Series) -> pd.Series:
+    return pd.Series([png.decode(bytes(b)).planes.astype(np.uint8).tobytes() for b in data])
+
+
+@F.pandas_udf("binary")
+def as_jpeg(data: pd.Series) -> pd.Series:
+    """Bytes less 128 as coefficients of 8 x 8 blocks, at most 64 in a row, filled up with zeros."""
+
+    def one(b: bytes) -> bytes:
+        n = -(-len(b) // 64)
+        across = min(n, 64)
+        down = -(-n // across)
+        v = np.zeros(across * down * 64, np.int64)
+        v[: len(b)] = np.frombuffer(b, np.uint8).astype(np.int64) - 128
+        part = jpeg.Component(1, 1, 1, 0, v.reshape(down, across, 64))
+        return jpeg.encode(jpeg.Jpeg(8 * across, 8 * down, {0: [1] * 64}, [part]))
+
+    return pd.Series([one(bytes(b)) for b in data])
+
+
+def _pngs(spark, sf_dir):
+    d = files(spark, sf_dir).filter(F.octet_length("content") > 0)
+    return d.select("doc_id", as_png("content").alias("content"))
+
+
+@query(f"""
+SELECT doc_id, y, md5(array_to_string(list_concat(list(v ORDER BY x), list_transform(range({WIDTH} - count(*)), lambda i: 0)), ',')) AS digest
+FROM (SELECT doc_id, (pos % {WIDTH})::INT AS x, (pos // {WIDTH})::INT AS y, sym AS v FROM ({WHOLE_SQL})) GROUP BY doc_id, y""")
+def png_pixels(spark, sf_dir):
+    """Pixels read back from PNG files made of all texts, a row each."""
+    rows = png.read_pixels(_pngs(spark, sf_dir), ["doc_id"])
+    line = F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda p: p["v"])
+    return rows.groupBy("doc_id", "y").agg(F.md5(F.array_join(line, ",").cast("binary")).alias("digest"))
+
+
+@query(f"""
+SELECT doc_id, length(h) // 2 + (-(length(h) // 2)) % {WIDTH} + CASE WHEN length(h) // 2 % {WIDTH} > 0 THEN {WIDTH} ELSE 0 END AS pixels, true AS smaller_or_kept,
+       md5(h || repeat('00', ({WIDTH} - length(h) // 2 % {WIDTH}) % {WIDTH})) AS digest
+FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> '')""")
+def raster_codec(spark, sf_dir):
+    """PNG files of all texts through the raster codec and back: colour planes, filter, adaptive contexts, rANS."""
+    coded = codec.encode(_pngs(spark, sf_dir).withColumnRenamed("content", "data"), "raster", ["doc_id"])
+    kept = coded.select("doc_id", ((F.col("size") < F.col("o_size")) == F.col("status")).alias("smaller_or_kept"))
+    back = codec.decode(coded, ["doc_id"]).select("doc_id", png_bytes("data").alias("v"))
+    return back.join(kept, "doc_id").select("doc_id", F.octet_length("v").cast("long").alias("pixels"), "smaller_or_kept", F.md5(F.hex("v").cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT doc_id, k AS nth, md5(array_to_string(list_concat(list_transform(s[k * 64 + 1 : k * 64 + 64], lambda x: x - 128), list_transform(range(greatest(0, (k + 1) * 64 - len(s))), lambda i: 0)), ',')) AS digest
+FROM (SELECT doc_id, s, unnest(range(0, (len(s) + 63) // 64)) AS k
+      FROM (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS s FROM documents))""")
+def jpeg_coefficients(spark, sf_dir):
+    """Quantised coefficients read back from JPEG files made of all texts, a row for each 8 x 8 block that holds any."""
+    d = files(spark, sf_dir).filter(F.octet_length("content") > 0)
+    d = d.select(F.struct("doc_id", F.ceil(F.octet_length("content") / 64).alias("n")).alias("k"), as_jpeg("content").alias("content"))
+    rows = jpeg.read_blocks(d.select("k.doc_id", "k.n", "content"), ["doc_id", "n"])
+    nth = (F.col("by") * F.floor(F.col("width") / 8) + F.col("bx")).cast("long")
+    return rows.filter(nth < F.col("n")).select("doc_id", nth.alias("nth"), F.md5(F.array_join("coef", ",").cast("binary")).alias("digest"))
+
+
+STATIC_SQL = f"""
+WITH p AS (
+  SELECT doc_id, x, y, v, coalesce(lag(v) OVER (PARTITION BY doc_id, y ORDER BY x), lag(v) OVER (PARTITION BY doc_id, x ORDER BY y)) AS ctx
+  FROM (SELECT doc_id, (pos % {WIDTH})::INT AS x, (pos // {WIDTH})::INT AS y, sym AS v FROM ({WHOLE_SQL}))),
+c AS (SELECT ctx, v, count(*) AS n FROM p WHERE ctx IS NOT NULL GROUP BY ALL),
+g AS (SELECT d.ctx, k::INT AS v, coalesce(n, 0) + 1 AS cnt FROM (SELECT ctx, unnest(range(0, 256)) AS k FROM (SELECT DISTINCT ctx FROM c)) d LEFT JOIN c ON d.ctx = c.ctx AND d.k = c.v),
+s AS (SELECT *, 1 + (cnt * 16776960) // sum(cnt) OVER (PARTITION BY ctx) AS w FROM g),
+r AS (SELECT *, 16777216 - sum(w) OVER (PARTITION BY ctx) AS r FROM s),
+f AS (SELECT ctx, v, (w + r // 256 + (v < r % 256)::INT)::BIGINT AS ls FROM r),
+m AS (SELECT *, coalesce(sum(ls) OVER (PARTITION BY ctx ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bs FROM f)
+SELECT doc_id, x, y, coalesce(ls, 65536) AS ls, coalesce(bs, p.v * 65536) AS bs FROM p LEFT JOIN m ON p.ctx = m.ctx AND p.v = m.v"""
+
+
+@query(STATIC_SQL)
+def static_precode(spark, sf_dir):
+    """Instructions of all pixels under an injected model of left, else upper, neighbours."""
+    p = _pixels(spark, sf_dir).withColumn("ch", F.lit(0))
+    model = models.inject(models.locality_counts(p, ["doc_id"]))
+    return models.static_precode(p, model, ["doc_id"]).select("doc_id", "x", "y", "ls", "bs")
 
 
 def queries() -> dict[str, Query]:

@@ -117,3 +117,33 @@ def test_png_files_through_engine(spark, tmp_path):
     e.encode(files, str(tmp_path / "arc"), "raster")
     back = e.decode_files(str(tmp_path / "arc"), files.select("path")).first()
     assert (png.decode(bytes(back.content)).planes == a.planes).all()
+
+
+def test_static_precode(spark):
+    """Instructions under an injected model against plain loops, with deep samples and both orders."""
+    from pyspark.sql import functions as F
+
+    from blobloom.operators import kernels, models
+
+    r = np.random.default_rng(4)
+    planes = {(i, c): r.integers(0, 9, (5, 7)) for i in range(2) for c in range(2)}
+    rows = [(i, c, y, x, int(v[y, x]), int(v[y, x] * 3 % 5)) for (i, c), v in planes.items() for y in range(5) for x in range(7)]
+    p = spark.createDataFrame(rows, "img int, ch int, y int, x int, v int, r int")
+    low = models.inject_order0(p.groupBy("ch", F.col("r").alias("next")).agg(F.count(F.lit(1)).alias("cnt")))
+    for order in (1, 2):
+        counts, zero = {}, {c: np.zeros(256, np.int64) for c in range(2)}
+        context = lambda v, y, x: v[y, x - 1] if x else v[y - 1, x] if y and order > 1 else None  # noqa: E731, B023
+        for (i, c), v in planes.items():
+            for y in range(5):
+                for x in range(7):
+                    zero[c][v[y, x] * 3 % 5] += 1
+                    k = context(v, y, x)
+                    if k is not None:
+                        counts.setdefault((c, k), np.zeros(256, np.int64))[v[y, x]] += 1
+        table = {k: kernels.frequency_table(n) for k, n in counts.items()}
+        flat = {c: kernels.frequency_table(n) for c, n in zero.items()}
+        model = models.inject(models.locality_counts(p, ["img"], order))
+        for q in models.static_precode(p, model, ["img"], order, low).collect():
+            v, k = planes[q.img, q.ch], context(planes[q.img, q.ch], q.y, q.x)
+            want = (1 << 16, q.v << 16) if k is None else (table[q.ch, k][q.v], table[q.ch, k][: q.v].sum())
+            assert (q.ls, q.bs) == want and (q.r_ls, q.r_bs) == (flat[q.ch][q.r], flat[q.ch][: q.r].sum())

@@ -55,3 +55,23 @@ def test_log_and_unary(spark):
     assert [one(spark, n, "v long", bits.floor_log2) for n in (0, 1, 2, 255, 256)] == [0, 0, 1, 7, 8]
     assert one(spark, 4, "v long", bits.unary) == "1110"
     assert one(spark, 4, "v long", lambda c: bits.unary_decode(bits.unary(c))) == 4
+
+
+def test_params_and_names(spark):
+    import hashlib
+
+    import pytest
+
+    from blobloom.functions import bits
+    from blobloom.operators import models
+
+    rows = [(1, {}), (2, {"a": ""}), (3, {"chunk_width": "64", "é ü": "ß\n", "z": "1" * 300}), (4, None)]
+    d = spark.createDataFrame(rows, "k int, m map<string,string>")
+    got = {r.k: r.back for r in d.select("k", bits.params_of_bytes(bits.params_bytes(F.col("m"))).alias("back")).collect()}
+    assert got == dict(rows)
+    names = spark.createDataFrame([("/a/é",), ("/",)], "p string").select("p", bits.lock_name(F.col("p")).alias("n")).collect()
+    assert all(r.n == hashlib.sha512(r.p.encode()).hexdigest() for r in names)
+    assert d.filter(bits.require(F.col("k") > 0, "k")).count() == 4
+    with pytest.raises(Exception, match="internal error: k is small"):
+        d.select(bits.require(F.col("k") > 2, "k is small")).collect()
+    assert spark.range(1).select(models.initial(5).alias("x")).first().x == [1] * 5
