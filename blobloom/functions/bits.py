@@ -125,7 +125,7 @@ def params_of_bytes(data: Column) -> Column:
     n = number(F.lit(1))
     turns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     done = F.aggregate(turns, F.struct(F.lit(17).alias("at"), empty.alias("out")), step)
-    return F.map_from_entries(done["out"])
+    return F.when(data.isNotNull(), F.map_from_entries(done["out"]))
 
 
 def lock_name(path: Column, width: int = 512) -> Column:
