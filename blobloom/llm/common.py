@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, shared_folder  # noqa: F401
+from ..plans.lineage import cut, dealt, shared_folder  # noqa: F401
+
+KEYS = {"documents": ["doc_id"], "pages": ["page_id"]}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -14,7 +16,9 @@ BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; small documents and pages, which lie in one row group, are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return dealt(df, *KEYS[table]) if table in KEYS else df
 
 
 def ascii_lower(text: Column) -> Column:
