@@ -260,6 +260,15 @@ def by_group(rows: DataFrame, keys: list[str], link: Callable[[dict[str, np.ndar
     return dealt.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
+def star(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the members of each component to its smallest id: where groups share a cluster, mostly the same links."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    to = least[label]
+    out = np.flatnonzero(ids != to)
+    return ids[out], to[out]
+
+
 def links(keys: DataFrame, longs: list[str], width: int, budget: int, limit: int | None = None) -> DataFrame:
     """Spanning-forest links (a, b), a > b, of the distinct ids of ``keys`` (id, longs).
 
@@ -306,9 +315,7 @@ def links(keys: DataFrame, longs: list[str], width: int, budget: int, limit: int
             return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits) <= limit
 
         label = Walk(fp[order], width, budget, near, second).run()
-        ids = g["id"][order]
-        out = np.flatnonzero(label != np.arange(len(label)))
-        return ids[out], ids[label[out]]
+        return star(g["id"][order], label)
 
     return by_group(dealt, groups, group)
 
@@ -466,8 +473,7 @@ def near_links(docs: DataFrame, keys: DataFrame, near: tuple[int, int] = NEAR, w
     def group(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ids, first = np.unique(g["c_id"], return_index=True)
         label = similar([np.frombuffer(g["shingles"][i], np.uint64) for i in first], near, g["seed"][first] if "seed" in g else None)
-        out = np.flatnonzero(label != np.arange(len(ids)))
-        return ids[out], ids[label[out]]
+        return star(ids, label)
 
     def compared(dealt: DataFrame, groups: list[str]) -> DataFrame:
         dealt = dealt.withColumnRenamed("c_id", "d_id")
