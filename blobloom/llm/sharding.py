@@ -123,6 +123,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, keep: bool =
     lng = equi_depth(docs.select(docs["lang"].alias("v")), "v", bits).select(
         F.col("value").alias("lang_value"), F.col("quantile").alias("lang_q")
     )
+    # a row a value; counted, so that rows with their texts aren't shuffled to find out
+    src, lng = common.cut(src), common.cut(lng)
+    src, lng = common.small(src, src.count()), common.small(lng, lng.count())
     rows = rows.join(src, rows["s_source"].eqNullSafe(src["src_value"]), "left")
     rows = rows.join(lng, rows["s_lang"].eqNullSafe(lng["lang_value"]), "left")
     size_q = F.least(F.length(F.bin("size")) - 1, F.lit((1 << bits) - 1)).cast("int")  # whole part of log2
