@@ -9,7 +9,9 @@ words there must equal the window (exact verification). Windows with a word the
 corpus lacks are never looked for.
 
 Two scans of the corpus: word counts of the benchmark's vocabulary, and the
-join. Only matches and one row a document are shuffled, never texts.
+join. Only matches and one row a document are shuffled, never texts. Where the
+index is too large to broadcast, a bitmap of its tokens is, and words that it may
+hold are shuffled with those around them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from . import common
 WINDOW = 8
 MIN_ITEMS = 2
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bits of the bitmap of index tokens that goes to all executors, at most.
+MAX_BITS = 27
 #: A token no text has; stands behind each document's words to carry its row through the join.
 END = " "
 
@@ -62,13 +66,30 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return best.filter("p.c > 0").select("p.token", "p.off", "window", "items")
 
 
+def token_hash(token: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(1 << bits))
+
+
+def bitmap(index: DataFrame, rows: int) -> tuple[bytes, int]:
+    """A bit for each hash of a token of ``index``: one in 16 or fewer is set, up to MAX_BITS. Bounded by these, whatever the index."""
+    bits = min(MAX_BITS, max(10, (16 * rows).bit_length()))
+    h = token_hash(F.col("token"), bits)
+    set_ = index.select(F.shiftright(h, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    out = bytearray(1 << bits - 3)
+    for r in set_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[8 * r["at"] : 8 * r["at"] + 8] = (r["bits"] & (1 << 64) - 1).to_bytes(8, "little")
+    return bytes(out), bits
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...).
 
     Returns doc_id, text_key, n_words, n_hit, n_items, items_sha256,
     contaminated. Null texts and texts without words have no words and no hit;
     items without an id or without words are ignored, items of one id are one;
-    repeated rows are all returned; without items nothing is hit.
+    repeated rows are all returned; of equally rare words of a window the first in
+    order is its prefix; texts are used whole, however long; other columns are
+    ignored; without items nothing is hit; no rows give no rows.
     """
     index = prefixes(docs, windows(benchmark, width))
     index = index.select("token", "off", F.size("window").alias("len"), "window", "items")
@@ -92,11 +113,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
         first, n = F.col("pos") - F.col("off"), F.size("w")
         fits = (first >= 0) & (first + F.col("len") <= n)
         same = F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("len")) == F.col("window")
-    else:  # an index beyond the bound: shuffle words, each with the words around it
+    else:  # an index beyond the bound: words that may be in it are shuffled, each with the words around it
         n = F.col("n")
-        at = rows.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "t"))
+        held, bits = bitmap(index.filter(F.col("token") != END), n_index)
+        padded = F.concat("w", F.array(F.lit(END)))
+
+        def may_be(i: Column) -> Column:
+            h = token_hash(F.get("p", i), bits)
+            byte = F.conv(F.hex(F.substring(F.lit(held), (F.shiftright(h, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return (i == F.size("w")) | (F.call_function("shiftright", byte, h.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+        at = rows.select("doc_id", "text_key", "w", padded.alias("p"))
+        at = at.select("doc_id", "text_key", "w", "p", F.explode(F.filter(F.sequence(F.lit(0), F.size("w")), may_be)).alias("pos"))
         at = at.select(
-            "doc_id", "text_key", "pos", "t", F.size("w").alias("n"),
+            "doc_id", "text_key", "pos", F.get("p", F.col("pos")).alias("t"), F.size("w").alias("n"),
             F.slice("w", F.greatest(F.col("pos") + 2 - width, F.lit(1)), F.lit(2 * width - 1)).alias("near"),
         )
         at = at.join(index, F.col("t") == F.col("token"))

@@ -375,8 +375,8 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
 NEAR_WIDTH, NEAR = 5, (4, 5)
 #: Compared are texts of which some one of WORDS fingerprints differs in NEAR_BUDGET of WORD bits or fewer, and all in
 #: NEAR_LIMIT or fewer. At a similarity of 0.8 a bit differs with a probability of 0.1515 at most (the angle between
-#: sets of that similarity over pi), so 1 - 0.735^12 = 0.975 of pairs are compared; of 0.85, 0.997; of 0.9, all but 4 in 10^5.
-WORD, WORDS, NEAR_BUDGET, NEAR_LIMIT = 32, 12, 3, 84
+#: sets of that similarity over pi), so 1 - 0.735^16 = 0.993 of pairs are compared; of 0.85, 0.9996; of 0.9, all but 2 in 10^6.
+WORD, WORDS, NEAR_BUDGET, NEAR_LIMIT = 32, 16, 3, 108
 LONGS = [f"s{k}" for k in range(WORD * WORDS // 64)]
 #: Sets and shingles of a block: two blocks at most are compared in one task.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
