@@ -28,8 +28,10 @@ EVERY = 50
 BLOCK, QUERIES, SAMPLE = 4096, 8192, 4096
 #: Queries of a round that meet a block at once, and pairs that are scored at once.
 STEP, PAIRS = 512, 1 << 16
+#: Share of pairs left by the bounds from which a block is scored by one product; integers to EXACT are exact in float64.
+DENSE, EXACT = 0.02, 2.0**52
 
-PACKED = "longest double, ids binary, vecs binary"
+PACKED = "longest double, n int, ids binary, vecs binary"
 
 
 def packed(it: Iterator[pd.DataFrame], per: int, dims: int) -> Iterator[pd.DataFrame]:
@@ -37,7 +39,7 @@ def packed(it: Iterator[pd.DataFrame], per: int, dims: int) -> Iterator[pd.DataF
 
     def row(ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         longest = np.sqrt((v.astype(float) ** 2).sum(axis=1).max())
-        return pd.DataFrame({"longest": [longest], "ids": [ids.tobytes()], "vecs": [v.tobytes()]})
+        return pd.DataFrame({"longest": [longest], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [v.tobytes()]})
 
     ids, vecs = np.zeros(0, np.int64), np.zeros((0, dims), np.int64)
     for g in it:
@@ -79,13 +81,23 @@ class Search:
         reach = np.flatnonzero(self.len * longest * (1 + 1e-9) + 1e-6 >= self.low)
         if not len(reach):
             return
+        exact = float(self.len.max()) * longest < EXACT
         cf = c @ self.turn
         rest = np.sqrt((cf[:, self.head :] ** 2).sum(axis=1))
         for s in range(0, len(reach), STEP):
             r = reach[s : s + STEP]
             most = self.qf[r, : self.head] @ cf[:, : self.head].T + self.rest[r, None] * rest[None, :]
             slack = 1e-9 * (1 + self.len[r] * longest)
-            i, j = np.nonzero(most + slack[:, None] >= self.low[r, None])
+            open_ = most + slack[:, None] >= self.low[r, None]
+            if exact and open_.mean() > DENSE:  # one product of what is left, exact as its sums are integers of a float's reach
+                some = np.flatnonzero(open_.any(axis=0))
+                score = self.q[r].astype(float) @ c[some].astype(float).T
+                i, at = np.nonzero(open_[:, some] & (score >= self.low[r, None]))
+                keep = self.ids[r[i]] != ids[some[at]]
+                i, at = i[keep], at[keep]
+                self.keep(r[i], ids[some[at]], score[i, at].astype(np.int64))
+                continue
+            i, j = np.nonzero(open_)
             i = r[i]
             other = self.ids[i] != ids[j]
             i, j = i[other], j[other]
@@ -159,22 +171,30 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     turn = rotation(fit, dims)
 
     per_block, per_round = BLOCK, QUERIES
-    parts = max(1, -(-n // (8 * per_block)))
+    # a task has some blocks of a large table, and one of a table that would leave cores idle
+    parts = max(1, -(-n // (8 * per_block)), min(-(-n // per_block), spark.sparkContext.defaultParallelism))
     ranged = rows.repartitionByRange(parts, F.desc("norm2"), F.col("id")).sortWithinPartitions(F.desc("norm2"), "id").select("id", "v")
     cand = common.cut(ranged.mapInPandas(lambda it: packed(it, per_block, dims), PACKED))
     ask = rows.filter(F.col("id") % every == 0)
     n_ask = ask.count()
     ask = ask.repartition(max(1, -(-n_ask // (4 * per_round))), "id").select("id", "v").mapInPandas(lambda it: packed(it, per_round, dims), PACKED)
-    asked = common.cut(ask.withColumn("round", F.monotonically_increasing_id()))
-    rounds = [r[0] for r in asked.select("round").collect()]  # a number for QUERIES queries
+    asked = common.cut(ask.withColumn("part", F.monotonically_increasing_id()))
+    rounds: list[list[int]] = []  # parts of a round: ``QUERIES`` at most, however the parts fell
+    held = per_round
+    for part, size in asked.select("part", "n").orderBy("part").collect():  # a number for each task's rest and each full round
+        if held + size > per_round:
+            rounds.append([])
+            held = 0
+        rounds[-1].append(part)
+        held += size
     if not rounds:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     longest = cand.orderBy(F.desc("longest")).select("ids", "vecs").first()
     head = unpacked(longest["ids"], longest["vecs"], dims)
 
     def one_round(number: int) -> DataFrame:
-        got = asked.filter(F.col("round") == number).first()
-        ids, q = unpacked(got["ids"], got["vecs"], dims)
+        got = [unpacked(r["ids"], r["vecs"], dims) for r in asked.filter(F.col("part").isin(rounds[number])).orderBy("part").collect()]
+        ids, q = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
         sent = spark.sparkContext.broadcast((ids, q, thresholds(ids, q, *head, k), turn))
         first = number * per_round
 
@@ -191,8 +211,8 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             found = common.cut(found)
         return found
 
-    found = one_round(rounds[0])
-    for number in rounds[1:]:
+    found = one_round(0)
+    for number in range(1, len(rounds)):
         found = found.unionByName(one_round(number))
     # at most k rows of each query and task reach this; keep k of a query
     best = found.groupBy("q_row", "query_id").agg(
