@@ -54,8 +54,3 @@ def transform(pixels: DataFrame, to: str = "ycocg", bits: int | None = 8, names:
     r, bl = unlift(F.col("_t"), F.col(names[1]), bits)
     step = step.withColumns({"_r": r, "_b": bl})
     return step.withColumns({names[0]: F.col("_r"), names[1]: F.col("_g"), names[2]: F.col("_b")}).drop("_g", "_t", "_r", "_b")
-
-
-def planes(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Channel columns c0, c1, ... of long pixels (keys, ch, y, x, v)."""
-    return pixels.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("ch") == k, F.col("v"))).alias(f"c{k}") for k in range(4)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +14,50 @@ from . import kernels
 LANES, LANE_LENGTH = 1024, 4096
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def encode_udf(ls: pd.Series, bs: pd.Series) -> pd.Series:
-    """Words of arrays of frequencies and cumulative frequencies; for long or many sequences."""
+def _words(ls: list[np.ndarray], bs: list[np.ndarray]) -> list[np.ndarray]:
+    """Words of several sequences: short ones in step with others of about their length, long ones by themselves."""
     out: list = [None] * len(ls)
-    sized = sorted((len(x), i) for i, x in enumerate(ls) if x is not None)
+    sized = sorted((len(x), i) for i, x in enumerate(ls))
     short = [i for n, i in sized if n <= LANE_LENGTH]
-    for at in range(0, len(short), LANES):  # of about one length
+    for at in range(0, len(short), LANES):
         part = short[at : at + LANES]
         for i, w in zip(part, kernels.rans_encode_many([ls[i] for i in part], [bs[i] for i in part]), strict=True):
             out[i] = w.astype("int64")
     for n, i in sized:
         if n > LANE_LENGTH:
             out[i] = kernels.rans_encode(ls[i], bs[i]).astype("int64")
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def encode_udf(ls: pd.Series, bs: pd.Series) -> pd.Series:
+    """Words of arrays of frequencies and cumulative frequencies; for long or many sequences."""
+    there = [i for i, x in enumerate(ls) if x is not None]
+    out: list = [None] * len(ls)
+    for i, w in zip(there, _words([ls.iloc[i] for i in there], [bs.iloc[i] for i in there]), strict=True):
+        out[i] = w
     return pd.Series(out)
 
 
+def encode_blocks(data: Column, ls: Column, bs: Column, block: int) -> Column:
+    """Array of the words of each block of ``block`` bytes of ``data``, under one table of 256 frequencies and their sums."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def run(data: pd.Series, ls: pd.Series, bs: pd.Series) -> pd.Series:
+        f, c, owner = [], [], []
+        for i, (d, x, y) in enumerate(zip(data, ls, bs, strict=True)):
+            s = np.frombuffer(d, np.uint8)
+            f += [x[s[at : at + block]] for at in range(0, len(s), block)]
+            c += [y[s[at : at + block]] for at in range(0, len(s), block)]
+            owner += [i] * (len(f) - len(owner))
+        out: list = [[] for _ in range(len(data))]
+        for i, w in zip(owner, _words(f, c), strict=True):
+            out[i].append(w)
+        return pd.Series(out)
+
+    return run(data, ls, bs)
+
+
 def encode(instructions: Column) -> Column:
     """Array of 32-bit words of an array of (ls, bs) structs; coded from the end, two words of state first."""
     start = F.struct(F.lit(1 << 31).cast("long").alias("x"), F.array().cast("array<bigint>").alias("w"))

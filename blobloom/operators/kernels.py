@@ -63,27 +63,34 @@ def unbwt(last: bytes, index: int) -> bytes:
 
 
 def mtf(data: bytes) -> bytes:
+    """Ranks of symbols, most recent first; within a run they are zeros and need no work."""
+    s = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     table = bytearray(range(ALPHABET))
-    out = bytearray(len(data))
-    for i, c in enumerate(data):
+    heads = bytearray(len(at))
+    for i, c in enumerate(s[at].tobytes()):
         k = table.index(c)
-        out[i] = k
+        heads[i] = k
         if k:
             del table[k]
             table.insert(0, c)
-    return bytes(out)
+    out = np.zeros(len(s), np.uint8)
+    out[at] = np.frombuffer(bytes(heads), np.uint8)
+    return out.tobytes()
 
 
 def unmtf(data: bytes) -> bytes:
+    s = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != 0])) if len(s) else np.zeros(0, np.int64)
     table = bytearray(range(ALPHABET))
-    out = bytearray(len(data))
-    for i, k in enumerate(data):
+    heads = bytearray(len(at))
+    for i, k in enumerate(s[at].tobytes()):
         c = table[k]
-        out[i] = c
+        heads[i] = c
         if k:
             del table[k]
             table.insert(0, c)
-    return bytes(out)
+    return np.repeat(np.frombuffer(bytes(heads), np.uint8), np.diff(np.append(at, len(s)))).tobytes()
 
 
 def bigrams(symbols: bytes, step: int = 32) -> np.ndarray:
@@ -149,18 +156,25 @@ def rans_encode_many(ls: list[np.ndarray], bs: list[np.ndarray]) -> list[np.ndar
     return [words[k, : used[k] + 2][::-1] for k in range(len(ls))]
 
 
-def order1_instructions(symbols: bytes, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency, cumulative) of each symbol after the one before it; the first is uniform."""
+def order1_instructions(symbols: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, cumulative) of each symbol after the one before it, under dense ``counts``; the first is uniform.
+
+    Only contexts that occur are normalised.
+    """
     s = np.frombuffer(symbols, np.uint8).astype(np.int64)
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ls, bs = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
     ls[0], bs[0] = 1 << 16, s[0] << 16
-    ls[1:], bs[1:] = f[s[:-1], s[1:]], c[s[:-1], s[1:]]
+    contexts = np.flatnonzero(np.bincount(s[:-1], minlength=ALPHABET))
+    row = np.zeros(ALPHABET, np.int64)
+    row[contexts] = np.arange(len(contexts))
+    f, c = normalise(counts[contexts])
+    ls[1:], bs[1:] = f[row[s[:-1]], s[1:]], c[row[s[:-1]], s[1:]]
     return ls, bs
 
 
-def order1_decode(words: np.ndarray, n: int, f: np.ndarray, c: np.ndarray) -> bytes:
+def order1_decode(words: np.ndarray, n: int, counts: np.ndarray) -> bytes:
     if not n:
         return b""
     from bisect import bisect_right
@@ -178,7 +192,8 @@ def order1_decode(words: np.ndarray, n: int, f: np.ndarray, c: np.ndarray) -> by
         else:
             row = rows[prev]
             if row is None:
-                row = rows[prev] = (c[prev].tolist(), f[prev].tolist())
+                f, c = normalise(counts[prev])
+                row = rows[prev] = (c.tolist(), f.tolist())
             s = bisect_right(row[0], low) - 1
             fs, cs = row[1][s], row[0][s]
         x = fs * (x >> SCALE) + low - cs
@@ -271,34 +286,6 @@ def precode_residual(chunk: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarr
     return ls.reshape(chunk.shape), bs.reshape(chunk.shape)
 
 
-def precode_decode_chunk(decode, h: int, w: int, order: int, rate: int) -> np.ndarray:
-    """Bytes of a chunk, asking ``decode(frequencies, cumulative)`` for each symbol; None asks for a uniform one."""
-    counts: dict[int, np.ndarray] = {}
-    v = np.zeros((h, w), np.int64)
-
-    def of(context: int) -> np.ndarray:
-        if context not in counts:
-            counts[context] = np.zeros(ALPHABET, np.int64)
-        return counts[context]
-
-    for y in range(h):
-        for x in range(w):
-            context = int(v[y, x - 1]) if x else int(v[y - 1, x]) if y and order > 1 else -1
-            if context < 0:
-                v[y, x] = decode(None)
-                continue
-            row = of(context)
-            s = decode(frequency_table(row))
-            v[y, x] = s
-            row[s] += rate
-            if x and y:
-                if order > 1:
-                    of(int(v[y - 1, x]))[s] += rate
-                if order > 2:
-                    of(int(v[y - 1, x - 1]))[s] += rate >> 1
-    return v
-
-
 class RansReader:
     """Decodes symbols one by one, each under the frequencies it is asked with."""
 

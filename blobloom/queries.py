@@ -500,8 +500,10 @@ FROM (SELECT doc_id, sym, (v + r // 256 + CASE WHEN sym < r % 256 THEN 1 ELSE 0
 
 
 def _order0(spark, sf_dir):
-    s = sequence.symbols(files(spark, sf_dir).select("doc_id", F.col("content").alias("data")), ["doc_id"])
-    n = s.groupBy("doc_id", "sym").agg(F.count(F.lit(1)).alias("cnt"))
+    """Order-0 frequencies of each text, counted where the text lies."""
+    b = bits.byte_values(F.col("content"))
+    d = files(spark, sf_dir).filter(F.octet_length("content") > 0).select("doc_id", F.explode(b).alias("sym"))
+    n = d.groupBy("doc_id", "sym").agg(F.count(F.lit(1)).alias("cnt"))
     m = n.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sym", "cnt"))).alias("m"))
     full = m.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)))).alias("sym", "cnt"))
     return models.normalise(full, ["doc_id"], "sym", plus=1)
@@ -604,11 +606,12 @@ SELECT doc_id, seq, len(r.w)::INT + 2 AS n_words, md5(array_to_string(list_rever
 
 @query(RANS_SQL)
 def rans_encode(spark, sf_dir):
-    """Words of every block under its document's order-0 frequencies."""
-    s = sequence.symbols(blocks(spark, sf_dir), ["doc_id", "seq"])
-    rows = s.join(_order0(spark, sf_dir), ["doc_id", "sym"])
-    seqs = rows.groupBy("doc_id", "seq").agg(F.sort_array(F.collect_list(F.struct("pos", "ls", "bs"))).alias("i"))
-    out = seqs.select("doc_id", "seq", entropy.encode_udf(F.transform("i", lambda x: x["ls"]), F.transform("i", lambda x: x["bs"])).alias("w"))
+    """Words of every block under its document's order-0 frequencies; a document's table meets its text once."""
+    row = F.sort_array(F.collect_list(F.struct("sym", "ls", "bs")))
+    t = _order0(spark, sf_dir).groupBy("doc_id").agg(row.alias("t"))
+    t = t.select(F.col("doc_id").alias("t_id"), F.transform("t", lambda x: x["ls"]).alias("ls"), F.transform("t", lambda x: x["bs"]).alias("bs"))
+    d = files(spark, sf_dir).join(t, F.col("doc_id") == F.col("t_id"))
+    out = d.select("doc_id", F.posexplode(entropy.encode_blocks(F.col("content"), F.col("ls"), F.col("bs"), BLOCK)).alias("seq", "w"))
     return out.select("doc_id", "seq", F.size("w").alias("n_words"), F.md5(F.array_join("w", ",").cast("binary")).alias("digest"))
 
 
