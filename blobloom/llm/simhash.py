@@ -6,9 +6,11 @@ error where the bits differ, and gives up a pair whose errors exceed the budget.
 
 The join is dealt out by bands: cut into one band more than the budget has bits,
 two fingerprints within the budget agree in all of some band, so each goes to one
-bucket a band, whatever the table's size, and the walk goes on within a bucket. A
-bucket of more than ``BUCKET`` rows is cut into blocks by a hash of the id, and
-each two blocks are a task's. What is joined already is not walked again, so a
+bucket a band, and the walk goes on within a bucket. Where bands are too short for
+a large table, there are more and shorter ones, of which such fingerprints agree in
+two or three, and buckets are of each two or three: they are smaller, and nothing
+is lost. A bucket of more than ``BUCKET`` rows all the same is cut into blocks by a
+hash of the id, and each two blocks are a task's. What is joined already is not walked again, so a
 cluster of many fingerprints costs little more than its links. A bucket returns a
 spanning forest of its links, not all pairs. Components of the forests are joined
 by alternating star contraction, one shuffle a step, checkpointed.
@@ -22,6 +24,7 @@ sets of shingles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -269,6 +272,23 @@ def star(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[out], to[out]
 
 
+def bands(n: int, width: int, budget: int, ms: tuple[int, ...] = (1, 2, 3)) -> list[list[tuple[int, int]]]:
+    """Sets of bands (from, to) of ``width`` bits, of which ``budget`` errors leave one set whole.
+
+    Of budget + m bands at least m agree, and any m are a set. Taken is the one of
+    ``ms`` by which ``n`` rows are copied least: once a set, and once a block of its
+    buckets. A set has 32 bits at most.
+    """
+    found = []
+    for m in ms:
+        cuts = [width * k // (budget + m) for k in range(budget + m + 1)]
+        cut = [(x, min(y, x + 32 // m)) for x, y in zip(cuts, cuts[1:])]
+        sets = [list(s) for s in combinations(cut, m)]
+        bits = min(sum(y - x for x, y in s) for s in sets)
+        found.append((len(sets) * max(1, -(-n // (BUCKET << bits))), m, sets))
+    return min(found)[2]
+
+
 def links(keys: DataFrame, longs: list[str], width: int, budget: int, limit: int | None = None) -> DataFrame:
     """Spanning-forest links (a, b), a > b, of the distinct ids of ``keys`` (id, longs).
 
@@ -279,12 +299,15 @@ def links(keys: DataFrame, longs: list[str], width: int, budget: int, limit: int
     keys = common.cut(keys.select("id", *longs))
     n_keys = keys.count()
     per, mask = 64 // width, (1 << width) - 1
-    cuts = [width * k // (budget + 1) for k in range(budget + 2)]
+    sets = bands(n_keys, width, budget)
     buckets = []
     for i in range(per * len(longs)):
-        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            value = F.shiftrightunsigned(longs[i // per], 64 - width * (i % per) - y).bitwiseAND(F.lit((1 << (y - x)) - 1))
-            buckets.append(value.bitwiseOR(F.lit((i * (budget + 1) + k) << 32)))
+        for s, of in enumerate(sets):
+            value = F.shiftleft(F.lit(i * len(sets) + s).cast("long"), 32 - sum(y - x for x, y in of))
+            for x, y in of:
+                part = F.shiftrightunsigned(longs[i // per], 64 - width * (i % per) - y).bitwiseAND(F.lit((1 << (y - x)) - 1))
+                value = F.shiftleft(value, y - x).bitwiseOR(part)
+            buckets.append(value)
     dealt = keys.select("id", *longs, F.explode(F.array(*buckets)).alias("bucket"))
     groups = ["bucket"]
     if n_keys > BUCKET:  # else no bucket can be larger
@@ -300,7 +323,7 @@ def links(keys: DataFrame, longs: list[str], width: int, budget: int, limit: int
             groups = ["bucket", "p", "q"]
 
     def group(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        i = int(g["bucket"][0] >> 32) // (budget + 1)
+        i = int(g["bucket"][0] >> 32) // len(sets)
         fp = (g[longs[i // per]].view(np.uint64) >> np.uint64(64 - width * (i % per + 1))) & np.uint64(mask)
         order, second = np.argsort(fp, kind="stable"), None
         if "p" in g and g["p"][0] != g["q"][0]:

@@ -653,8 +653,24 @@ def test_walk_of_a_large_cluster(monkeypatch):
     assert np.bincount(label).max() >= 30_000 and sum(tried) < 100 * len(x)
 
 
-@pytest.mark.parametrize("bucket", [1 << 16, 24])
-def test_links_when_dealt_out(spark, monkeypatch, bucket):
+def test_bands_leave_a_set_whole():
+    """Whatever bits differ, some set of bands agrees, and larger tables get sets of more bits, not ever more blocks."""
+    r = random.Random(8)
+    for width, budget in ((64, 2), (32, 3), (64, 0)):
+        for n in (10, 10**8, 10**10, 10**14):
+            sets = simhash.bands(n, width, budget)
+            assert all(0 <= x < y <= width for s in sets for x, y in s) and all(sum(y - x for x, y in s) <= 32 for s in sets)
+            for _ in range(200):
+                off = [r.randrange(width) for _ in range(budget)]
+                assert any(all(not x <= o < y for o in off for x, y in s) for s in sets)
+    assert [len(simhash.bands(n, 32, 3)) for n in (10**7, 10**8, 10**9)] == [4, 10, 20]
+    assert len(simhash.bands(10**10, 64, 2)) == 3
+
+
+@pytest.mark.parametrize(("bucket", "m"), [(1 << 16, 1), (24, 1), (24, 2), (24, 3)])
+def test_links_when_dealt_out(spark, monkeypatch, bucket, m):
+    bands = simhash.bands
+    monkeypatch.setattr(simhash, "bands", lambda n, width, budget: bands(n, width, budget, (m,)))
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     r = random.Random(6)
     x = [r.getrandbits(64) for _ in range(150)]
