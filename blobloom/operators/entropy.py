@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import kernels
-
-#: Sequences coded in step at once, and the length beyond which one is coded by itself.
-LANES, LANE_LENGTH = 1024, 4096
+from . import kernels, lanes
 
 
 def _words(ls: list[np.ndarray], bs: list[np.ndarray]) -> list[np.ndarray]:
-    """Words of several sequences: short ones in step with others of about their length, long ones by themselves."""
-    out: list = [None] * len(ls)
-    sized = sorted((len(x), i) for i, x in enumerate(ls))
-    short = [i for n, i in sized if n <= LANE_LENGTH]
-    for at in range(0, len(short), LANES):
-        part = short[at : at + LANES]
-        for i, w in zip(part, kernels.rans_encode_many([ls[i] for i in part], [bs[i] for i in part]), strict=True):
-            out[i] = w.astype("int64")
-    for n, i in sized:
-        if n > LANE_LENGTH:
-            out[i] = kernels.rans_encode(ls[i], bs[i]).astype("int64")
-    return out
+    """Words of several sequences, coded in step."""
+    sizes = np.array([len(x) for x in ls], np.int64)
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (ls, bs)]
+    return [w.astype("int64") for w in lanes.rans_encode(*flat, np.cumsum(sizes) - sizes, sizes)]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -39,23 +32,48 @@ def encode_udf(ls: pd.Series, bs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def encode_blocks(data: Column, ls: Column, bs: Column, block: int) -> Column:
-    """Array of the words of each block of ``block`` bytes of ``data``, under one table of 256 frequencies and their sums."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-    def run(data: pd.Series, ls: pd.Series, bs: pd.Series) -> pd.Series:
-        f, c, owner = [], [], []
-        for i, (d, x, y) in enumerate(zip(data, ls, bs, strict=True)):
-            s = np.frombuffer(d, np.uint8)
-            f += [x[s[at : at + block]] for at in range(0, len(s), block)]
-            c += [y[s[at : at + block]] for at in range(0, len(s), block)]
-            owner += [i] * (len(f) - len(owner))
-        out: list = [[] for _ in range(len(data))]
-        for i, w in zip(owner, _words(f, c), strict=True):
-            out[i].append(w)
-        return pd.Series(out)
-
-    return run(data, ls, bs)
+#: Bytes coded together at most; a single blob may have more.
+SLICE = 1 << 20
+
+
+def encode_blocks(df: DataFrame, keys: list[str], data: str, block: int) -> DataFrame:
+    """(keys, seq, w): words of each block of ``block`` bytes of ``data`` under the order-0 frequencies of the whole of it.
+
+    Blobs are coded some at a time, and their words leave as they come: a worker
+    holds the instructions of ``SLICE`` bytes, or of one blob, whatever a batch has.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sizes = pc.binary_length(batch.column(len(keys))).fill_null(0).to_numpy(zero_copy_only=False)
+            slices = np.cumsum(sizes) // SLICE
+            for at in (np.flatnonzero(slices == k) for k in np.unique(slices)):
+                part = batch.slice(int(at[0]), len(at))
+                ls, bs, owner, seq, length = [], [], [], [], []
+                for i, d in enumerate(part.column(len(keys))):
+                    if not d.is_valid or not (n := len(d.as_buffer())):
+                        continue
+                    s = np.frombuffer(d.as_buffer(), np.uint8)
+                    f = kernels.frequency_table(np.bincount(s, minlength=kernels.ALPHABET))
+                    ls.append(f.astype(np.int32)[s])
+                    bs.append((np.cumsum(f) - f).astype(np.int32)[s])
+                    blocks = -(-n // block)
+                    owner.append(np.full(blocks, i))
+                    seq.append(np.arange(blocks, dtype=np.int32))
+                    length.append(np.minimum(block, n - seq[-1].astype(np.int64) * block))
+                if not ls:
+                    continue
+                size = np.concatenate(length)
+                words = lanes.rans_encode(np.concatenate(ls), np.concatenate(bs), np.cumsum(size) - size, size)
+                ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words).astype(np.int64)))
+                took = pa.array(np.concatenate(owner))
+                columns = [*[part.column(k).take(took) for k in range(len(keys))], pa.array(np.concatenate(seq)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "seq", "w"])
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    return df.select(*keys, data).mapInArrow(run, f"{schema}, seq int, w array<bigint>")
 
 
 def encode(instructions: Column) -> Column:

@@ -121,3 +121,22 @@ def test_bwt_columns_without_shuffle(spark):
     out = sequence.bwt_columns(df, ["k"])
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.k: (bytes(r.data), r.bw_index) for r in out.collect()} == {i: kernels.bwt(b) for i, b in enumerate(BLOBS) if b}
+
+
+def test_blocks_are_coded_in_slices(spark, monkeypatch):
+    """Blocks have the words of each coded alone, under the table of their whole blob; blobs are coded some at a time, null and empty ones not at all."""
+    rng = np.random.default_rng(1)
+    blobs = [rng.integers(0, 1 + i % 256, i * 7 % 1500).astype(np.uint8).tobytes() for i in range(300)]
+    df = spark.createDataFrame([*enumerate(map(bytearray, blobs)), (999, None)], "k int, data binary").coalesce(1)
+    monkeypatch.setattr(entropy, "SLICE", 10_000)
+    out = entropy.encode_blocks(df, ["k"], "data", 256)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.k, r.seq): r.w for r in out.collect()}
+    want = {}
+    for i, b in enumerate(blobs):
+        s = np.frombuffer(b, np.uint8)
+        f = kernels.frequency_table(np.bincount(s, minlength=256))
+        c = np.cumsum(f) - f
+        for q in range(0, len(s), 256):
+            want[i, q // 256] = kernels.rans_encode(f[s[q : q + 256]], c[s[q : q + 256]]).tolist()
+    assert got == want
