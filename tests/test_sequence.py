@@ -162,3 +162,8 @@ def same_rows(a, b, *columns):
 def test_residuals_without_shuffle(spark):
     plain, arrays = rasters(spark)
     same_rows(models.paeth_residual(plain, ["k"]), models.paeth_residual(arrays, ["k"]), "residual")
+
+
+def test_predictions_without_shuffle(spark):
+    plain, arrays = rasters(spark)
+    same_rows(models.paeth_predict(plain, ["k"]), models.paeth_predict(arrays, ["k"]), "predicted")
